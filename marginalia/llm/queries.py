@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lines, quality
+from . import langid, lines, quality, simhash
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op3_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_divergence": op1_quality_divergence,
         "op3_hyperdimensional_language": op3_hyperdimensional_language,
+        "op5_simhash_ball": op5_simhash_ball,
         "op6_bloom_line_dedup": op6_bloom_line_dedup,
     }
 
