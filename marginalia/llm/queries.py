@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lines, quality, simhash
+from . import langid, lines, quality, simhash, toxicity
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_references(docs))
 
 
+def op2_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ def op6_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_divergence": op1_quality_divergence,
+        "op2_toxicity_trees": op2_toxicity_trees,
         "op3_hyperdimensional_language": op3_hyperdimensional_language,
         "op5_simhash_ball": op5_simhash_ball,
         "op6_bloom_line_dedup": op6_bloom_line_dedup,
