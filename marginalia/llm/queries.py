@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lines, quality, simhash, toxicity
+from . import langid, lines, quality, simhash, tokenids, toxicity
 from .common import table
 
 
@@ -32,6 +33,10 @@ def op6_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op10_sstable_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_divergence": op1_quality_divergence,
@@ -39,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_hyperdimensional_language": op3_hyperdimensional_language,
         "op5_simhash_ball": op5_simhash_ball,
         "op6_bloom_line_dedup": op6_bloom_line_dedup,
+        "op10_sstable_token_ids": op10_sstable_token_ids,
     }
 
 
