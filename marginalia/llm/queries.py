@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lines, quality, simhash, tokenids, toxicity, warc
+from . import decontam, langid, lines, quality, simhash, tokenids, toxicity, warc
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op6_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_hyperdimensional_language": op3_hyperdimensional_language,
         "op5_simhash_ball": op5_simhash_ball,
         "op6_bloom_line_dedup": op6_bloom_line_dedup,
+        "op8_qgram_decontamination": op8_qgram_decontamination,
         "op9_warc_index_merge": op9_warc_index_merge,
         "op10_sstable_token_ids": op10_sstable_token_ids,
     }
