@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lines, quality, simhash, tokenids, toxicity, warc
+from . import decontam, langid, lines, pieces, quality, simhash, tokenids, toxicity, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_divergence": op1_quality_divergence,
         "op2_toxicity_trees": op2_toxicity_trees,
         "op3_hyperdimensional_language": op3_hyperdimensional_language,
+        "op4_sentencepiece_viterbi": op4_sentencepiece_viterbi,
         "op5_simhash_ball": op5_simhash_ball,
         "op6_bloom_line_dedup": op6_bloom_line_dedup,
         "op8_qgram_decontamination": op8_qgram_decontamination,
