@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, remainder
+from .common import byte_texts, remainder, stored
 
 #: Common insults of four languages, as UTF-8, lower case.
 INSULTS = frozenset(
@@ -180,10 +180,12 @@ class Model:
 
 def _sampled(docs: DataFrame, labels: DataFrame, mod: int, out: int, max_rows: int) -> DataFrame:
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), mod) != out)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    n = rows.count()
-    if n > max_rows:
-        rows = rows.where(F.xxhash64("doc_id", F.lit("toxicity sample")).bitwiseAND(F.lit(2**32 - 1)) < int(2**32 * max_rows / n))
-    return rows.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", "toxic")
+    n, place = rows.count(), F.xxhash64("doc_id", F.lit("toxicity sample")).bitwiseAND(F.lit(2**32 - 1))
+    if n > max_rows:  # a little more than wanted by the hash, then exactly the first max_rows
+        rows = rows.withColumn("place", place).where(F.col("place") < int(2**32 * min(1.0, 1.1 * max_rows / n)))
+        rows = rows.orderBy("place", "doc_id", "toxic").limit(max_rows).drop("place")
+    # at most max_rows short rows are broadcast, so no text is shuffled
+    return stored(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "text", "toxic"), "labelled")
 
 
 def _learned_words(rows: DataFrame, least: int, at_most: int) -> dict[bytes, float]:
