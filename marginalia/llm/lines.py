@@ -15,7 +15,7 @@ largest; repeated rows of one id count as one document and get the same lines dr
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,19 +46,18 @@ def bit_places(hashes: np.ndarray, bits: int) -> np.ndarray:
         return np.stack([(first + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(HASHES)])
 
 
-def _filter_bits(docs: DataFrame, bits_per_doc: int, max_bits: int) -> int:
-    want = max(1, docs.count()) * bits_per_doc
-    return min(max_bits, max(SEGMENT_BITS, 1 << (want - 1).bit_length()))
+def filter_bits(want: int, max_bits: int) -> int:
+    return min(max_bits, max(SEGMENT_BITS, 1 << (max(1, want) - 1).bit_length()))
 
 
-def seen_twice(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
-    """The second filter, packed."""
+def seen_twice(docs: DataFrame, hashes_of: Callable[[list[bytes]], np.ndarray], bits: int) -> np.ndarray:
+    """The second filter over the hashes of all texts, packed. hashes_of: the hashes of some texts, repeats included."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: list[int] = []
+        hashes: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, n = np.unique(np.array(hashes, np.uint64), return_counts=True)
+            keys, n = np.unique(np.concatenate(hashes), return_counts=True)
             hashes.clear()
             pack, segs = zstandard.ZstdCompressor(level=1), {}
             for part, chosen in (("once", keys), ("twice", keys[n > 1])):
@@ -70,12 +69,16 @@ def seen_twice(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
                     segs.setdefault(int(s), {})[part] = pack.compress(np.packbits(own, bitorder="little").tobytes())
             yield pa.RecordBatch.from_pydict({"seg": pa.array(list(segs), pa.int32()), "once": pa.array([x.get("once") for x in segs.values()], pa.binary()), "twice": pa.array([x.get("twice") for x in segs.values()], pa.binary())})
 
+        held = 0
         for batch in batches:
-            for text in byte_texts(batch.column(0)):
-                hashes += {xxhash.xxh3_64_intdigest(k) for k in line_keys(text, min_chars) if k is not None}
-            if len(hashes) > 4_000_000:
-                yield from flush()
-        if hashes:
+            texts = byte_texts(batch.column(0))
+            for lo in range(0, len(texts), 256):
+                hashes.append(hashes_of(texts[lo : lo + 256]))
+                held += len(hashes[-1])
+                if held > 4_000_000:
+                    yield from flush()
+                    held = 0
+        if held:
             yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,11 +104,23 @@ def seen_twice(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
     return out
 
 
+def probably_twice(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(hashes), bool)
+    for p in bit_places(hashes, 8 * len(packed)):
+        hit &= (packed[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return hit
+
+
+def _key_hashes(texts: list[bytes], min_chars: int) -> np.ndarray:
+    """Once a document."""
+    return np.array([h for t in texts for h in {xxhash.xxh3_64_intdigest(k) for k in line_keys(t, min_chars) if k is not None}], np.uint64)
+
+
 def line_drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per_doc: int = 512, max_bits: int = 1 << 28) -> DataFrame:
     """(doc_id, keys): the keys whose lines the document loses."""
     spark = docs.sparkSession
-    bits = _filter_bits(docs, bits_per_doc, max_bits)
-    twice = spark.sparkContext.broadcast(seen_twice(docs, min_chars, bits))
+    bits = filter_bits(docs.count() * bits_per_doc, max_bits)
+    twice = spark.sparkContext.broadcast(seen_twice(docs, lambda texts: _key_hashes(texts, min_chars), bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = twice.value
@@ -117,10 +132,7 @@ def line_drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per
                 rows += [i] * len(own)
             if not keys:
                 continue
-            places = bit_places(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), bits)
-            hit = np.ones(len(keys), bool)
-            for p in places:
-                hit &= (packed[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            hit = probably_twice(packed, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64))
             found = np.flatnonzero(hit)
             yield pa.RecordBatch.from_pydict({"key": pa.array([keys[i] for i in found], pa.binary()), "doc_id": batch.column(0).take(pa.array(np.array(rows)[found]))})
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lines, pieces, quality, simhash, tokenids, toxicity, warc
+from . import decontam, langid, lines, pieces, quality, repeats, simhash, tokenids, toxicity, warc
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sentencepiece_viterbi": op4_sentencepiece_viterbi,
         "op5_simhash_ball": op5_simhash_ball,
         "op6_bloom_line_dedup": op6_bloom_line_dedup,
+        "op7_repeated_strings": op7_repeated_strings,
         "op8_qgram_decontamination": op8_qgram_decontamination,
         "op9_warc_index_merge": op9_warc_index_merge,
         "op10_sstable_token_ids": op10_sstable_token_ids,
