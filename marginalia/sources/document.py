@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from ..functions import jsonfn
 
 WIRE = "text string, facets array<struct<index:struct<byteStart:int,byteEnd:int>,features:array<string>>>"
-FEATURES = T.StructType.fromDDL("doc_id bigint, facet_ord int, feat_ord int, byte_start int, byte_end int, type_id string, name string, data string")
+FEATURES = T.StructType(
+    [T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ("facet_ord", "feat_ord", "byte_start", "byte_end")), *(T.StructField(c, T.StringType()) for c in ("type_id", "name", "data"))]
+)
 FEATURE_COLUMNS = FEATURES.fieldNames()
 FIRST_MARKER, NEXT_MARKER = "￼", "\n"
 VERSION = "0.1.0"
