@@ -144,12 +144,26 @@ def plain_rules(lens: Lens) -> list[Rule]:
     return [r for r in lens.rules if r.match is not None and r.join is None and r.sql is None]
 
 
+def _numbers(pairs: dict[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+
+
 def matched_rule(lens: Lens) -> Column:
-    """Number of the first rule that matches, null for none."""
+    """Number of the first rule that matches, null for none. Rules on type and name alone are one lookup in a constant
+    map, however many there are; only rules with attribute tests need a chain."""
+    exact: dict[str, int] = {}
     chain = None
     for i, r in enumerate(plain_rules(lens)):
-        chain = F.when(matches(r.match), i) if chain is None else chain.when(matches(r.match), i)
-    return F.lit(None).cast("int") if chain is None else chain
+        p = r.match
+        if p.attrs or p.any or p.all:
+            chain = F.when(matches(p), i) if chain is None else chain.when(matches(p), i)
+        else:
+            exact.setdefault(strip_version(p.type_id) + ("" if p.name is None else f"#{p.name}"), i)
+    found = [] if chain is None else [chain]
+    if exact:
+        kind = strip_version_col(F.col("type_id"))
+        found += [F.try_element_at(_numbers(exact), kind), F.try_element_at(_numbers(exact), F.concat_ws("#", kind, "name"))]
+    return F.lit(None).cast("int") if not found else found[0] if len(found) == 1 else F.least(*found)
 
 
 def apply_lens(features: DataFrame, lens: Lens) -> DataFrame:
@@ -165,11 +179,14 @@ def apply_lens(features: DataFrame, lens: Lens) -> DataFrame:
     if lens.passthrough == "drop":
         f = f.where(F.col("__rule").isNotNull())
     type_id, name, data = F.col("type_id"), F.col("name"), F.col("data")
+    by_rule = lambda m: F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col("__rule"))
+    if kept:
+        type_id = F.coalesce(by_rule({i: rules[i].replace.type_id for i in kept}), type_id)
+    if named := {i: rules[i].replace.name for i in kept if rules[i].replace.name is not None}:
+        name = F.coalesce(by_rule(named), name)
     for i in kept:
         r, on = rules[i].replace, F.col("__rule") == i
-        new_type = r.type_id
-        type_id = F.when(on, F.lit(new_type)).otherwise(type_id)
-        if r.name is not None or r.template is not None:
+        if r.template is not None:
             name = F.when(on, _new_name(r)).otherwise(name)
         if r.touches_attrs:
             m = jsonfn.as_map(F.col("data"))

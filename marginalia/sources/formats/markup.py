@@ -61,10 +61,14 @@ def scan(s: str, x: Syntax, marks: tuple = ()) -> list[Run]:
                     continue
                 lo = at + len(a)
                 hi = s.find(b, lo + 1)
+                if len(b) == 2 and b[0] == b[1]:
+                    while hi >= 0 and s.startswith(b, hi + 1):  # the last two of three close the outer mark
+                        hi += 1
+                elif any(d[0] == a + a for d in x.delimiters):
+                    while hi >= 0 and s.startswith(b + b, hi):  # those of a doubled delimiter close nothing here
+                        hi = s.find(b, s.find(b + b, hi + 2) + 2 if s.find(b + b, hi + 2) >= 0 else hi + 2)
                 if hi < 0 or (x.word_edges and (s[lo].isspace() or s[hi - 1].isspace())) or "\n" in s[lo:hi]:
                     continue
-                while s.startswith(b, hi + 1) and len(b) == 1 and hi + 1 < len(s) and len(a) == 1 and name not in ("code",) and s[hi + 1] == b and s.count(b, lo, hi) % 2:
-                    hi += 1
                 m = (*marks, mark(name))
                 hit = (hi + len(b), [(s[lo:hi], m)] if name in ("code", "literal") or not x.nest else scan(s[lo:hi], x, m))
                 break
