@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -50,11 +51,15 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder, read back. Survives lost executors."""
-    spark = df.sparkSession
+    """Cut the lineage: write to the shared folder, read back. Survives lost executors. The shuffle files behind ``df``
+    aren't needed any more; dropping its plan lets Spark's cleaner delete them."""
+    spark, schema = df.sparkSession, df.schema
     path = shared_folder(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -52,6 +52,16 @@ def filter_bits(want: int, max_bits: int) -> int:
 
 def seen_twice(docs: DataFrame, hashes_of: Callable[[list[bytes]], np.ndarray], bits: int) -> np.ndarray:
     """The second filter over the hashes of all texts, packed. hashes_of: the hashes of some texts, repeats included."""
+    return _filters(docs.select("text"), lambda batch: hashes_of(byte_texts(batch.column(0))), bits, "twice")
+
+
+def seen(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """The first filter over the hashes of all rows, packed."""
+    return _filters(rows, hashes_of, bits, "once")
+
+
+def _filters(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], bits: int, wanted: str) -> np.ndarray:
+    parts_wanted = ("once", "twice") if wanted == "twice" else ("once",)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
@@ -61,6 +71,8 @@ def seen_twice(docs: DataFrame, hashes_of: Callable[[list[bytes]], np.ndarray],
             hashes.clear()
             pack, segs = zstandard.ZstdCompressor(level=1), {}
             for part, chosen in (("once", keys), ("twice", keys[n > 1])):
+                if part not in parts_wanted:
+                    continue
                 places = np.unique(bit_places(chosen, bits).ravel()).astype(np.int64)
                 cuts = np.searchsorted(places, np.arange(0, bits + 1, SEGMENT_BITS))
                 for s in np.flatnonzero(np.diff(cuts)):
@@ -71,9 +83,8 @@ def seen_twice(docs: DataFrame, hashes_of: Callable[[list[bytes]], np.ndarray],
 
         held = 0
         for batch in batches:
-            texts = byte_texts(batch.column(0))
-            for lo in range(0, len(texts), 256):
-                hashes.append(hashes_of(texts[lo : lo + 256]))
+            for lo in range(0, batch.num_rows, 256):
+                hashes.append(hashes_of(batch.slice(lo, 256)))
                 held += len(hashes[-1])
                 if held > 4_000_000:
                     yield from flush()
@@ -94,13 +105,14 @@ def seen_twice(docs: DataFrame, hashes_of: Callable[[list[bytes]], np.ndarray],
                     new = np.frombuffer(unpack.decompress(a), np.uint8)
                     twice[seg] |= once[seg] & new
                     once[seg] |= new
-        yield pa.RecordBatch.from_pydict({"seg": pa.array(list(twice), pa.int32()), "twice": pa.array([x.tobytes() for x in twice.values()], pa.binary())})
+        found = twice if wanted == "twice" else once
+        yield pa.RecordBatch.from_pydict({"seg": pa.array(list(found), pa.int32()), "bits": pa.array([x.tobytes() for x in found.values()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(build, "seg int, once binary, twice binary")
+    parts = rows.mapInArrow(build, "seg int, once binary, twice binary")
     out = np.zeros(bits // 8, np.uint8)
     step = SEGMENT_BITS // 8
-    for r in parts.repartition("seg").mapInArrow(merge, "seg int, twice binary").toLocalIterator():
-        out[r.seg * step : (r.seg + 1) * step] = np.frombuffer(r.twice, np.uint8)
+    for r in parts.repartition("seg").mapInArrow(merge, "seg int, bits binary").toLocalIterator():
+        out[r.seg * step : (r.seg + 1) * step] = np.frombuffer(r.bits, np.uint8)
     return out
 
 

@@ -9,7 +9,7 @@ anchor form a context; contexts partition the strings of a document. Then
 * contexts that share an anchor and differ are compared string by string, in order of first occurrence. Anchors with
   more than ``crowd`` different contexts - large groups of near copies - spread their strings over the cluster instead.
 
-Contexts and strings are told apart by 128-bit hashes. A run-compressed Burrows-Wheeler index per bucket is not used: it
+Contexts are told apart by their anchor's and their own 64-bit hash, strings by 128 bits. A run-compressed Burrows-Wheeler index per bucket is not used: it
 finds some occurrence of a match, not whether one starts earlier; see the README.
 
 Defined results: null texts are empty; texts shorter than ``size`` lose nothing; a null id comes before all others; rows
@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_texts, stored
-from .lines import filter_bits, probably_twice, seen_twice
+from .lines import filter_bits, probably_twice, seen, seen_twice
 
 ANCHOR = 24
+NULL_ID = -(2**63)
 #: Fixed odd multipliers, the same on all machines.
 _ODD = np.random.Generator(np.random.PCG64(24_100)).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -154,32 +155,64 @@ def compare(groups: list[int], docs: list, starts: list[int], texts: list[bytes]
     return [(docs[w], starts[w] + int(x), starts[w] + int(y) + size) for w, x, y in zip(which[lo].tolist(), offset[lo], offset[hi], strict=True)]
 
 
+def _digests(texts: list[bytes], size: int, packed: np.ndarray) -> tuple:
+    """Of suspected contexts: anchor, digest, text, start, strings, bytes."""
+    h, doc, first, count, joined, starts = contexts(texts, size)
+    keep = np.flatnonzero(probably_twice(packed, h)) if len(h) else np.zeros(0, np.int64)
+    h, doc, first, count = h[keep], doc[keep], first[keep], count[keep]
+    pieces = [joined[i : i + n] for i, n in zip((starts[doc] + first).tolist(), (count + size - 1).tolist(), strict=True)] if len(h) else []
+    return h, np.array([xxhash.xxh3_64_intdigest(x) for x in pieces], np.uint64), doc, first, count, pieces
+
+
+def _place_hash(anchor: np.ndarray, digest: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _stir(anchor.view(np.uint64) * _ODD[40] + digest.view(np.uint64) * _ODD[41] + doc_id.astype(np.int64).view(np.uint64) * _ODD[42])
+
+
 def removed_ranges(docs: DataFrame, size: int = 100, crowd: int = 2048, max_bits: int = 1 << 29) -> DataFrame:
     """(doc_id, start, end): bytes to remove; ranges may overlap."""
     spark = docs.sparkSession
+    own = docs.select("doc_id", "text")
     twice = spark.sparkContext.broadcast(_filter(docs, size, max_bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts whose anchor may occur twice; ``again`` marks a context that its own document has held before."""
         packed = twice.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                h, doc, first, count, joined, starts = contexts(byte_texts(batch.column(1)), size)
-                keep = np.flatnonzero(probably_twice(packed, h))
-                if not len(keep):
+                h, digest, doc, first, count, _ = _digests(byte_texts(batch.column(1)), size, packed)
+                if not len(h):
                     continue
-                h, doc, first, count = h[keep], doc[keep], first[keep], count[keep]
-                at = (starts[doc] + first).tolist()
-                pieces = [joined[i : i + n] for i, n in zip(at, (count + size - 1).tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"anchor": pa.array(h.view(np.int64)), "digest": pa.array([xxhash.xxh3_128_digest(x) for x in pieces], pa.binary()), "doc_id": batch.column(0).take(pa.array(doc)), "start": pa.array(first), "n": pa.array(count.astype(np.int32)), "context": pa.array(pieces, pa.binary())})
-
-    found = stored(docs.select("doc_id", "text").mapInArrow(suspects, "anchor long, digest binary, doc_id long, start long, n int, context binary"), "contexts")
-    first = found.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("times"), F.first("context").alias("context"))
-    first = stored(first, "first-contexts")
-    copied = first.where("times > 1").select(F.col("anchor").alias("a"), F.col("digest").alias("d"), "f")
-    light = found.select("anchor", "digest", "doc_id", "start", "n")
-    later = light.join(copied, (light["anchor"] == F.col("a")) & (light["digest"] == F.col("d"))).where(~F.struct("doc_id", "start").eqNullSafe(F.col("f")))
-    later = later.select("doc_id", "start", (F.col("start") + F.col("n") + (size - 1)).alias("end"))
+                order = np.lexsort((first, digest, h, doc))
+                again = np.zeros(len(h), bool)
+                again[order[1:]] = (doc[order][1:] == doc[order][:-1]) & (h[order][1:] == h[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+                yield pa.RecordBatch.from_pydict({"anchor": pa.array(h.view(np.int64)), "digest": pa.array(digest.view(np.int64)), "doc_id": batch.column(0).take(pa.array(doc)), "start": pa.array(first.astype(np.int32)), "n": pa.array(count.astype(np.int32)), "again": pa.array(again)})
+
+    found = stored(own.mapInArrow(suspects, "anchor long, digest long, doc_id long, start int, n int, again boolean"), "contexts")
+    # the document of each context's first occurrence; null ids come first. Within a document ``again`` has told already
+    first = stored(found.where("not again").groupBy("anchor", "digest").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("first_doc"), F.count(F.lit(1)).alias("times")), "first-contexts")
+    copied = first.where("times > 1").select(F.col("anchor").alias("a"), F.col("digest").alias("d"), "first_doc")
+    other = found.where("not again").join(copied, (F.col("anchor") == F.col("a")) & (F.col("digest") == F.col("d"))).where(F.coalesce("doc_id", F.lit(NULL_ID)) != F.col("first_doc"))
+    end = (F.col("start") + F.col("n") + (size - 1)).cast("int").alias("end")
+    later = other.select("doc_id", "start", end).unionByName(found.where("again").select("doc_id", "start", end))
+
+    # anchors with several contexts: their first occurrences are fetched from the texts again, through a Bloom filter; a
+    # false hit fetches a later occurrence, whose strings all are repeats, as they should be
+    several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select(F.col("anchor").alias("a"))
+    several = stored(first.join(several, F.col("anchor") == F.col("a")).select("anchor", "digest", "first_doc"), "several")
+    wanted = spark.sparkContext.broadcast(seen(several, lambda b: _place_hash(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(3))), filter_bits(16 * several.count(), max_bits)))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, chosen = twice.value, wanted.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                h, digest, doc, first, _, pieces = _digests(byte_texts(batch.column(1)), size, packed)
+                ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+                keep = np.flatnonzero(probably_twice(chosen, _place_hash(h.view(np.int64), digest.view(np.int64), ids[doc]))) if len(h) else []
+                if len(keep):
+                    yield pa.RecordBatch.from_pydict({"anchor": pa.array(h[keep].view(np.int64)), "doc_id": batch.column(0).take(pa.array(doc[keep])), "start": pa.array(first[keep].astype(np.int32)), "context": pa.array([pieces[i] for i in keep], pa.binary())})
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor and first occurrence; groups are compared some thousand contexts at a time."""
@@ -189,7 +222,7 @@ def removed_ranges(docs: DataFrame, size: int = 100, crowd: int = 2048, max_bits
         def out(rows: list[tuple], hashes: tuple | None = None) -> pa.RecordBatch:
             none = [None] * len(rows)
             a, b = hashes or (none, none)
-            return pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "start": pa.array([r[1] for r in rows], pa.int64()), "end": pa.array([r[2] for r in rows], pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            return pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "start": pa.array([r[1] for r in rows], pa.int32()), "end": pa.array([r[2] for r in rows], pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         def closed(rows: list[tuple]) -> pa.RecordBatch:
             alone = np.array([r[0] for r in rows])
@@ -225,9 +258,7 @@ def removed_ranges(docs: DataFrame, size: int = 100, crowd: int = 2048, max_bits
             yield spread(held) if crowded else closed(held)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = first.select("anchor", F.col("f.doc_id").alias("doc_id"), F.col("f.start").alias("start"), "context")
-    told = own.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(differ, "doc_id long, start long, end long, a long, b long")
-    told = stored(told, "told-apart")
+    told = stored(own.mapInArrow(fetch, "anchor long, doc_id long, start int, context binary").repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(differ, "doc_id long, start int, end int, a long, b long"), "told-apart")
     spread = told.where("a is not null")
     least = spread.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("a").alias("x"), F.col("b").alias("y"), "f")
     apart = spread.join(least, (spread["a"] == F.col("x")) & (spread["b"] == F.col("y"))).where(~F.struct("doc_id", "start").eqNullSafe(F.col("f")))
