@@ -43,6 +43,7 @@ FOOTER = struct.Struct("<6Q8s")
 RESTART = 16
 #: The code points with the Unicode property White_Space. A token never reaches from other text into these.
 _SPACE = "\t-\r \x85\xa0  -     　"
+_SPACES = frozenset(chr(i) for i in range(0x3001) if re.match(f"[{_SPACE}]", chr(i)))
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
@@ -50,31 +51,68 @@ class Encoder:
     """The tokenizers library over the pieces of a text that it would cut apart anyway; what it gave for short pieces is
     kept, up to ``keep`` of them, since most pieces recur."""
 
-    def __init__(self, path: str, keep: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, keep: int = 900_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        symbols = set(ByteLevel.alphabet())
+        # bytes of each id: a byte-level token has one symbol a byte; added tokens stand for themselves
+        self.sizes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token) if token in vocabulary and symbols.issuperset(token) else len(token.encode())
         self.known: dict[str, bytes] = {}
         self.keep, self.longest = keep, longest
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    def _encode(self, pieces: list[str], run: int = 2000) -> dict[str, bytes]:
+        """Pieces that start with a space and end with other text are encoded many in one string, which the library cuts
+        between them; sums of the ids' sizes tell whose ids are whose."""
+        out: dict[str, bytes] = {}
+        alone = [p for p in pieces if not (p[0] in _SPACES and p[-1] not in _SPACES)]
+        if alone:
+            out |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True)}
+        rest = [p for p in pieces if p[0] in _SPACES and p[-1] not in _SPACES]
+        for lo in range(0, len(rest), run):
+            own = rest[lo : lo + run]
+            ids = np.array(self.tokenizer.encode("".join(own), add_special_tokens=False).ids, "<u4")
+            ends = np.cumsum([len(p.encode()) for p in own])
+            reached = np.cumsum(self.sizes[ids])
+            cuts = np.searchsorted(reached, ends)
+            if len(ids) == 0 or (reached[np.minimum(cuts, len(ids) - 1)] != ends).any():
+                raise ValueError("the tokenizer joins what white space parts")
+            flat, at = ids.tobytes(), 0
+            for p, c in zip(own, (4 * (cuts + 1)).tolist(), strict=True):
+                out[p] = flat[at:c]
+                at = c
+        return out
 
-    def batch(self, texts: list[str | None], rows: int = 256) -> Iterator[bytes]:
+    def batch(self, texts: list[str | None], rows: int = 1024) -> Iterator[bytes]:
         """The ids of each text as little-endian u32."""
         for lo in range(0, len(texts), rows):
             cut = [_PIECE.findall(t) if t else [] for t in texts[lo : lo + rows]]
-            new = {p for pieces in cut for p in pieces} - self.known.keys()
+            new = set().union(*cut).difference(self.known)
             if len(self.known) + len(new) > self.keep:
                 self.known.clear()
-                new = {p for pieces in cut for p in pieces}
-            ordered = list(new)
-            own = dict(zip(ordered, self._encode(ordered), strict=True))
-            self.known |= {p: v for p, v in own.items() if len(p) <= self.longest}
-            get = self.known.get
+                new = set().union(*cut)
+            self.known |= self._encode(list(new))
+            get = self.known.__getitem__
             for pieces in cut:
-                yield b"".join([x if (x := get(p)) is not None else own[p] for p in pieces])
+                yield b"".join(map(get, pieces))
+            for p in new:
+                if len(p) > self.longest:
+                    del self.known[p]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One a worker process: what it has learned serves the process's next tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def key_of(doc_id: int | None, n: int = 0) -> bytes:
@@ -254,7 +292,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> l
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 where.create_dir(base, recursive=True)
                 sink = where.open_output_stream(own)
                 writer = Writer(sink)
