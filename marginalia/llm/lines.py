@@ -4,7 +4,7 @@ Every task notes the keys it has seen once and those it has seen twice; merged f
 the second filter, bit by bit, so a repeated key is never missed. Only keys in the second filter - repeats and few false
 hits - are shuffled, with their documents, to be counted exactly and to choose the document that keeps the line.
 
-The filters' size follows the number of documents up to ``max_bits`` (32 MB); beyond that more false hits are shuffled
+The filters' size follows the number of documents up to ``max_bits`` (128 MB); beyond that more false hits are shuffled
 and the result stays exact. What is broadcast is the second filter, so its size is bounded.
 
 Defined results: a null or empty text is one empty line; rows with a null id count as one document, which never is the
@@ -128,7 +128,7 @@ def _key_hashes(texts: list[bytes], min_chars: int) -> np.ndarray:
     return np.array([h for t in texts for h in {xxhash.xxh3_64_intdigest(k) for k in line_keys(t, min_chars) if k is not None}], np.uint64)
 
 
-def line_drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per_doc: int = 512, max_bits: int = 1 << 28) -> DataFrame:
+def line_drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per_doc: int = 512, max_bits: int = 1 << 30) -> DataFrame:
     """(doc_id, keys): the keys whose lines the document loses."""
     spark = docs.sparkSession
     bits = filter_bits(docs.count() * bits_per_doc, max_bits)

@@ -169,7 +169,7 @@ def _place_hash(anchor: np.ndarray, digest: np.ndarray, doc_id: np.ndarray) -> n
         return _stir(anchor.view(np.uint64) * _ODD[40] + digest.view(np.uint64) * _ODD[41] + doc_id.astype(np.int64).view(np.uint64) * _ODD[42])
 
 
-def removed_ranges(docs: DataFrame, size: int = 100, crowd: int = 2048, max_bits: int = 1 << 29) -> DataFrame:
+def removed_ranges(docs: DataFrame, size: int = 100, crowd: int = 2048, max_bits: int = 1 << 30) -> DataFrame:
     """(doc_id, start, end): bytes to remove; ranges may overlap."""
     spark = docs.sparkSession
     own = docs.select("doc_id", "text")
