@@ -289,15 +289,17 @@ class PieceEncoder:
         """The ids of each text as little-endian u32."""
         for lo in range(0, len(texts), rows):
             cut = [_WORD.findall((MARK if self.v.dummy_prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts[lo : lo + rows]]
-            new = {w for x in cut for w in x} - self.known.keys()
+            new = set().union(*cut).difference(self.known)
             if len(self.known) + len(new) > self.keep:
                 self.known.clear()
-                new = {w for x in cut for w in x}
-            own = self._new_words(sorted(new))
-            self.known |= {w: x for w, x in own.items() if len(w) <= self.longest}
-            get = self.known.get
+                new = set().union(*cut)
+            self.known |= self._new_words(sorted(new))
+            get = self.known.__getitem__
             for words in cut:
-                yield b"".join([x if (x := get(w)) is not None else own[w] for w in words])
+                yield b"".join(map(get, words))
+            for w in new:
+                if len(w) > self.longest:
+                    del self.known[w]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text; the mark before the first word goes."""
@@ -305,6 +307,13 @@ class PieceEncoder:
         return out[1:] if self.v.dummy_prefix and out[:1] == b" " else out
 
 
+def encoder_of(vocabulary: Vocabulary) -> PieceEncoder:
+    """One for a vocabulary in a worker process: what it has learned serves the process's next tasks."""
+    if not hasattr(vocabulary, "encoder"):
+        vocabulary.encoder = PieceEncoder(vocabulary)
+    return vocabulary.encoder
+
+
 def _vocabulary(spark: SparkSession, path: str) -> object:
     """Loaded once, on the driver; a few MB for any model of this kind."""
     with open(path, "rb") as f:
@@ -316,7 +325,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     shared = _vocabulary(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(shared.value)
+        encoder = encoder_of(shared.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):  # ids take more room than texts
                 batch = whole.slice(lo, 1024)
@@ -331,7 +340,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     shared = _vocabulary(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
             texts = [encoder.decode(np.array(x or [], "<u4").tobytes()).decode(errors="replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": pa.array(texts, pa.string())})
@@ -344,7 +353,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     shared = _vocabulary(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
             texts, rows = batch.column(1).to_pylist(), []
             for text, ids in zip(texts, encoder.encode(texts), strict=True):
