@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import decontam, langid, lines, pieces, simhash
+from marginalia.llm import decontam, langid, lines, pieces, similar
 from marginalia.llm.common import stored, table
 
 #: SQL has neither the profiles of the first stage nor the fingerprints of the third.
@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    """One row of each group of near copies stays: five-word shingles, similarity 0.8 or more, or nearly equal fingerprints."""
+    return similar.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import components, decontam, langid, lines, pieces, quality, repeats, simhash, tokenids, toxicity, warc
+from marginalia.llm import components, decontam, langid, lines, pieces, quality, repeats, simhash, similar, tokenids, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 WORDS = ["the", "of", "and", "to", "in", "house", "river", "stone", "walks", "slowly", "bright", "morning", "étude", "naïve"]
@@ -186,6 +186,36 @@ def test_simhash(spark, docs, monkeypatch, blocks, crowd):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("small", [16, 2])
+def test_similar_pairs_go(spark, small):
+    """Near copies by brute-force Jaccard that fingerprints of 4 bits leave apart."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([30, 120, 300]))]
+        for v in range(5):
+            words = list(base)
+            for _ in range(len(base) * v // 80 + (v > 0)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(900, None), (901, ""), (902, "one two"), (903, "One  two"), (None, "no identifier at all")]
+    sets = {i: {tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for i, t in rows if i is not None}
+    fps = {i: simhash.fingerprint((t or "").encode()) for i, t in rows if i is not None}
+    root = {i: i for i in sets}
+    missed = 0
+    for i in sorted(sets):
+        for j in sorted(x for x in sets if x < i):
+            alike, close = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]), (fps[i] ^ fps[j]).bit_count() <= 4
+            missed += alike and not close
+            if alike or close:
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in similar.keep_one(docs, small=small).collect()}
+    assert missed > 5 and got == {i for i in sets if root[i] == i} | {None}
+    assert similar.keep_one(docs.limit(0)).count() == 0
+
+
 def test_fingerprint_definition():
     import xxhash
 
