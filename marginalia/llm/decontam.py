@@ -9,20 +9,22 @@ within e = floor(rate * m) edits of the item. Two bounds leave few regions:
 * the q-gram lemma: region and item share at least m - q + 1 - q * e of all overlapping q-grams.
 
 What is left is verified by alignment within the band. The filter loses nothing; ``e`` is lowered for short items so
-that both bounds stay positive, and items under ``min_item_bytes`` can't be told from common phrases and are passed over.
+that both bounds stay positive. Items under ``min_item_bytes`` are looked up exactly (no edits), at bounds of words: a
+letter, digit or byte beyond ASCII at the item's edge has no other such byte next to it in the document.
 
 The items are broadcast in blocks of at most ``block_bytes``; a larger benchmark goes over the documents block by block.
 
-Defined results: null and empty texts hold no item; null items are passed over; items with equal texts are all reported;
+Defined results: null and empty texts hold no item; null items and items without a word are passed over; items with equal texts are all reported;
 a null item_id is reported as -1; rows are judged one by one, so repeated rows repeat; a null id is carried through; extra
 columns are ignored (``drop_contaminated`` keeps them); an empty benchmark leaves everything clean.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from .common import byte_texts
 
 Q = 8
 TABLE_BITS = 22
+#: Runs of word bytes, or single other bytes but the space.
+_TOKEN, _WORD = re.compile(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff ]"), re.compile(rb"[0-9a-z\x80-\xff]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,10 +74,20 @@ class Index:
     first: np.ndarray  # distinct grams, and where their postings begin
     begin: np.ndarray
     table: np.ndarray
+    short: dict[bytes, list[int]] = field(default_factory=dict)  # places of the items to look up exactly
+    short_sizes: dict[bytes, list[int]] = field(default_factory=dict)  # by first token
 
 
 def build_index(items: list[tuple[int, bytes]], rate: float, min_item_bytes: int) -> Index:
-    items = sorted((i, t) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= min_item_bytes)
+    named = sorted((i, t) for i, t in ((i, normal(t)) for i, t in items) if t)
+    items = [x for x in named if len(x[1]) >= min_item_bytes]
+    exact = [x for x in named if len(x[1]) < min_item_bytes]  # places after those of ``items``
+    short: dict[bytes, list[int]] = {}
+    for k, (_, text) in enumerate(exact, len(items)):
+        short.setdefault(text, []).append(k)
+    sizes: dict[bytes, set[int]] = {}
+    for text in short:
+        sizes.setdefault(_TOKEN.match(text)[0], set()).add(len(text))
     gram, item, place = [], [], []
     for k, (_, text) in enumerate(items):
         g = grams(text)[::Q]
@@ -86,7 +100,9 @@ def build_index(items: list[tuple[int, bytes]], rate: float, min_item_bytes: int
     first, begin = np.unique(g[order], return_index=True)
     table = np.zeros(1 << TABLE_BITS, bool)
     table[_slots(first)] = True
-    return Index([x for x, _ in items], [t for _, t in items], np.array([budget(len(t), rate) for _, t in items], np.int64), np.array([len(t) // Q for _, t in items], np.int64), g[order], i[order].astype(np.int64), p[order].astype(np.int64), first, np.append(begin, len(g)), table)
+    both = items + exact
+    edits = np.array([budget(len(t), rate) for _, t in items] + [0] * len(exact), np.int64)
+    return Index([x for x, _ in both], [t for _, t in both], edits, np.array([len(t) // Q for _, t in both], np.int64), g[order], i[order].astype(np.int64), p[order].astype(np.int64), first, np.append(begin, len(g)), table, short, {k: sorted(v) for k, v in sizes.items()})
 
 
 def candidates(index: Index, texts: list[bytes]) -> list[tuple[int, int, int]]:
@@ -145,6 +161,18 @@ def banded_distance(item: bytes, text: bytes, low: int, width: int, most: int) -
     return int(row.min())
 
 
+def short_items(index: Index, text: bytes) -> set[int]:
+    """Places of the items under the least size that the normal text holds."""
+    out: set[int] = set()
+    for m in _TOKEN.finditer(text):
+        at = m.start()
+        for size in index.short_sizes.get(m[0], ()):
+            found = index.short.get(text[at : at + size])
+            if found and not (_WORD.match(text, at + size - 1) and _WORD.match(text, at + size)):
+                out.update(found)
+    return out
+
+
 def find_items(index: Index, texts: list[bytes]) -> list[dict[int, int]]:
     """For each text the items it holds, by place in the index, with their edits."""
     texts = [normal(t) for t in texts]
@@ -161,6 +189,9 @@ def find_items(index: Index, texts: list[bytes]) -> list[dict[int, int]]:
             d = banded_distance(item, region, low - e - lo, 4 * e + 2, e)
             if d <= e:
                 out[doc][k] = min(d, out[doc].get(k, d))
+    if index.short:
+        for own, text in zip(out, texts, strict=True):
+            own.update(dict.fromkeys(short_items(index, text), 0))
     return out
 
 

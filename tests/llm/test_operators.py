@@ -314,6 +314,15 @@ def test_decontamination(spark, docs, empty):
     assert decontam.find_contamination(empty, bench).count() == 0 and decontam.find_contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_short_benchmark_items(spark):
+    bench = spark.createDataFrame([(1, "Who  is Ada?"), (2, "7 x 6 = 42"), (3, " "), (4, "a much longer item of the benchmark, found by its grams")], "item_id long, text string")
+    rows = [(1, 'He asked: "who is\nADA?" - and left'), (2, "who is adam? so 17 x 6 = 42"), (3, "(7 x 6 = 42)"), (4, "7 x 6 = 421"), (5, ""), (6, "a much longer item of the benchmark, found by its grams. 7 x 6 = 42")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.item_ids, r.edits) for r in decontam.find_contamination(df, bench).collect() if r.contaminated}
+    assert got == {1: ([1], 0), 3: ([2], 0), 6: ([2, 4], 0)}
+    assert {r.doc_id for r in decontam.drop_contaminated(df, bench).collect()} == {2, 4, 5}
+
+
 def test_warc(spark):
     rows = [(i, f"http://h{i % 3}.org/p?{i % 5}", f"<p>é{i % 4}</p>" * (i % 7)) for i in range(40)] + [(50, None, None), (51, "http://x.y/", ""), (None, "http://a.b/", "<p>é1</p>"), (52, "bad://[", "z" * 100_000), (7, "http://h1.org/p?2", "")]
     got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))).collect()
