@@ -6,8 +6,10 @@ to the chance of a hash collision over a large corpus. Members of a band are com
 how many of the 120 minhashes agree: fewer than ``AGREE`` have a chance of 3e-11 at similarity 0.8. What is left is verified
 on the shingle sets themselves.
 
-Bands of many members don't compare all pairs: a first round links each member along a tree of likely pairs; a second
-one verifies what the first left in different groups. No link between two groups is passed over.
+Bands of many members don't ship all pairs: a first round links each member along a tree of likely pairs; a second one
+takes the shingle sets along and compares, within a band, all plausible pairs the first left in different groups. It
+gives links, at most one a member; no link between two groups is passed over. Within a band of k members that are alike
+but mostly under the similarity, that is up to k^2 / 2 comparisons in one task.
 
 Equal shingle sets are one node. Texts under five words are one shingle; texts without words have none and one node.
 """
@@ -97,23 +99,37 @@ def signatures(docs: DataFrame, words_per_shingle: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, "doc_id long, fp long, node long, n int, key long, bands array<long>, agree binary")
 
 
-def _pairs(members: DataFrame, small: int, share: float, second: bool) -> DataFrame:
-    """members(value, node, n, agree, root) -> (a, b) to verify. First round: all plausible pairs of bands of at most
-    ``small`` members, a tree of likely ones in larger bands. Second round, of larger bands: all plausible pairs whose
-    roots differ."""
+def _pairs(members: DataFrame, small: int, least: tuple[int, int]) -> DataFrame:
+    """members(value, node, n, agree, root) -> (a, b) to verify: all plausible pairs of bands of at most ``small``
+    members, a tree of likely ones in larger bands. Where members have a ``set``: verified links instead, that connect
+    what pairs of different roots connect."""
+    second = "set" in members.columns
 
-    def group(node: np.ndarray, n: np.ndarray, sig: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if second and len(node) <= small:
-            return
-        if second or len(node) <= small:
-            if second and (root == root[0]).all():
+    def plausible(i: int, rest: np.ndarray, n: np.ndarray, sig: np.ndarray, agree: int) -> np.ndarray:
+        fits = (n[rest] * least[0] <= n[i] * least[1]) & (n[i] * least[0] <= n[rest] * least[1])
+        rest = rest[fits]
+        return rest[(sig[rest] == sig[i]).sum(1) >= agree]
+
+    def group(node: np.ndarray, n: np.ndarray, sig: np.ndarray, root: np.ndarray, sets: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = n.astype(np.int64)
+        if second:
+            root = np.unique(root, return_inverse=True)[1]
+            if root.max() == 0:
                 return
+            own = [np.frombuffer(x, np.uint64) for x in sets]
             for i in range(len(node) - 1):
                 rest = np.arange(i + 1, len(node))
-                rest = rest[(n[rest] * share <= n[i]) & (n[i] * share <= n[rest])]
-                if second:
-                    rest = rest[root[rest] != root[i]]
-                rest = rest[(sig[rest] == sig[i]).sum(1) >= AGREE]
+                for j in plausible(i, rest[root[rest] != root[i]], n, sig, AGREE):
+                    if root[j] == root[i]:
+                        continue
+                    both, either = jaccard(own[i], own[j])
+                    if both * least[1] >= either * least[0]:
+                        root[root == root[j]] = root[i]
+                        yield node[i : i + 1], node[j : j + 1]
+            return
+        if len(node) <= small:
+            for i in range(len(node) - 1):
+                rest = plausible(i, np.arange(i + 1, len(node)), n, sig, AGREE)
                 yield np.full(len(rest), node[i]), node[rest]
             return
         todo = np.arange(len(node))
@@ -121,10 +137,10 @@ def _pairs(members: DataFrame, small: int, share: float, second: bool) -> DataFr
             stack, todo = [todo[0]], todo[1:]
             while stack and len(todo):
                 i = stack.pop()
-                near = (n[todo] * share <= n[i]) & (n[i] * share <= n[todo]) & ((sig[todo] == sig[i]).sum(1) >= LIKELY)
-                yield np.full(int(near.sum()), node[i]), node[todo[near]]
-                stack += todo[near].tolist()
-                todo = todo[~near]
+                near = plausible(i, todo, n, sig, LIKELY)
+                yield np.full(len(near), node[i]), node[near]
+                stack += near.tolist()
+                todo = np.setdiff1d(todo, near, assume_unique=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by value."""
@@ -135,7 +151,8 @@ def _pairs(members: DataFrame, small: int, share: float, second: bool) -> DataFr
             t = pa.Table.from_batches(held)
             node, n, root = (t.column(c).to_numpy() for c in ("node", "n", "root"))
             sig = np.frombuffer(b"".join(t.column("agree").to_pylist()), np.uint8).reshape(len(node), N)
-            found = list(group(node, n, sig, root)) if len(node) > 1 else []
+            sets = t.column("set").to_pylist() if second else []
+            found = list(group(node, n, sig, root, sets)) if len(node) > 1 else []
             a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
             if len(a):
                 return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
@@ -157,14 +174,13 @@ def _pairs(members: DataFrame, small: int, share: float, second: bool) -> DataFr
             yield done
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.select("value", "node", "n", "agree", "root").repartition(parts, "value").sortWithinPartitions("value", "node")
+    dealt = members.select("value", "node", "n", "agree", "root", *(["set"] if second else [])).repartition(parts, "value").sortWithinPartitions("value", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shingle: int, least: tuple[int, int], broadcast_rows: int) -> DataFrame:
-    """Those of pairs(a, b) whose shingle sets reach the similarity."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key"), "node")
-    wanted = stored(wanted, "wanted")
+def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shingle: int, broadcast_rows: int) -> DataFrame:
+    """(node, set) of the nodes wanted."""
+    wanted = stored(wanted.distinct().join(nodes.select("node", "key"), "node"), "wanted")
     keyed = docs.select("text", F.xxhash64("text").alias("key"))
     few = wanted.count() <= broadcast_rows  # else texts are shuffled; the result is the same
     texts = keyed.join(F.broadcast(wanted) if few else wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
@@ -173,7 +189,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shi
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"node": batch.column(0), "set": pa.array([shingles(t, words_per_shingle).tobytes() for t in byte_texts(batch.column(1))], pa.binary())})
 
-    own = stored(texts.mapInArrow(sets, "node long, set binary"), "sets")
+    return stored(texts.mapInArrow(sets, "node long, set binary"), "sets")
+
+
+def _verified(pairs: DataFrame, own: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Those of pairs(a, b) whose shingle sets reach the similarity."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,9 +217,9 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 5, least: tuple[int, int]
     met = stored(banded.groupBy("value").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1"), "bands")
     members = banded.join(met.where("k > 2").select("value"), "value").join(nodes.select("node", "n", "agree"), "node")
     members = stored(members.withColumn("root", F.col("node")), "members")
-    pairs = stored(met.where("k = 2").select("a", "b").union(_pairs(members, small, least[0] / least[1], False)).distinct(), "pairs")
-    how = (nodes, docs, words_per_shingle, least, broadcast_rows)
-    similar = _verified(pairs, *how)
+    pairs = stored(met.where("k = 2").select("a", "b").union(_pairs(members, small, least)).distinct(), "pairs")
+    how = (nodes, docs, words_per_shingle, broadcast_rows)
+    similar = _verified(pairs, _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), *how), least)
 
     leads = stored(own.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
     same = own.select("fp", "node").distinct().join(leads, "fp").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
@@ -210,9 +230,10 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 5, least: tuple[int, int]
 
     large = members.join(met.where(F.col("k") > small).select("value"), "value").drop("root")
     large = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = stored(_pairs(large, small, least[0] / least[1], True).join(pairs, ["a", "b"], "left_anti"), "more")
-    if more.head(1):
-        roots = stored(components(first.union(_verified(more, *how))), "roots")
+    large = stored(large, "large")
+    if large.head(1):
+        more = _pairs(large.join(_sets(large.select("node"), *how), "node"), small, least)
+        roots = stored(components(first.union(more)), "roots")
 
     named = nodes.select("node", "least").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
