@@ -200,10 +200,26 @@ def repeated_words(ids: np.ndarray, window: int = 8) -> int:
     return int((np.cumsum(cover[:-1]) > 0).sum())
 
 
+def word_limits(refs: References, min_words: int, most: float) -> np.ndarray:
+    """Per reference the largest word distance that passes: halfway between what 999 of 1,000 texts of ``min_words`` words
+    drawn from the reference stay under and the distance of a text without any common word; ``most`` at most, and where
+    texts so short can't be told apart."""
+    random, out = np.random.Generator(np.random.PCG64(20_000_003)), np.full(len(refs.langs), most)
+    for i, share in enumerate(refs.word_shares):
+        if share.sum() > 0:
+            none = js_distance(np.eye(len(share))[-1], share)
+            clean = np.quantile(js_distance(random.multinomial(min_words, share / share.sum(), 2000) / min_words, share), 0.999)
+            if clean < none:
+                out[i] = min(most, (clean + none) / 2)
+    return out
+
+
 def score_quality(
     docs: DataFrame, refs: References, min_words: int = 60, min_chars: int = 200, max_class_distance: float = 0.3, max_word_distance: float = 0.5
 ) -> DataFrame:
-    """Per row of docs(doc_id, text): the counts, the distances to the nearest reference and the verdict."""
+    """Per row of docs(doc_id, text): the counts, the distances to the nearest reference and the verdict. The word distance
+    is judged by the nearest reference's limit."""
+    limits = word_limits(refs, min_words, max_word_distance)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, nearest string, kept boolean"
     arrow = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64()), ("nearest", pa.string()), ("kept", pa.bool_())])
     symbols, spaces = np.frombuffer(SYMBOLS, np.uint8), np.frombuffer(b"\t\n\x0b\x0c\r ", np.uint8)
@@ -240,7 +256,7 @@ def score_quality(
                 best = (k + w).argmin(1)
                 rows = np.arange(len(texts))
                 k, w = k[rows, best], w[rows, best]
-                far = ((chars >= min_chars) & (k > max_class_distance)) | ((n_words >= min_words) & (w > max_word_distance))
+                far = ((chars >= min_chars) & (k > max_class_distance)) | ((n_words >= min_words) & (w > limits[best]))
                 out["class_distance"], out["word_distance"] = k.tolist(), w.tolist()
                 out["nearest"] = [refs.langs[j] for j in best]
             else:

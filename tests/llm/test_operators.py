@@ -64,6 +64,17 @@ def test_quality_rejects_symbols(spark):
     assert quality.js_distance(p, p) == 0 and quality.js_distance(p, np.array([0, 0, 1.0])) == 1
 
 
+def test_quality_rejects_gibberish(spark):
+    rng = random.Random(13)
+    letters = "".join(WORDS[:12])
+    made = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(n))
+    mixed = lambda n: " ".join(rng.choice(WORDS) if rng.random() < 0.37 else made(1) for _ in range(n))
+    df = spark.createDataFrame([*((i, mixed(400), "en") for i in range(300)), (900, made(400), "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.score_quality(df, quality.fit_references(df.where("doc_id < 900"))).collect()}
+    assert not got[900].base_failed and got[900].word_distance < 0.5 and not got[900].kept
+    assert all(got[i].kept for i in range(300))
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     rows, labels = [], []
