@@ -87,14 +87,13 @@ def _unit(a: np.ndarray) -> np.ndarray:
     return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
 
 
-def fit_prototypes(rows: DataFrame, dims: int = 512, max_rows_per_lang: int = 3000, max_langs: int = 200) -> Prototypes:
-    """rows(doc_id, text, lang): those to learn from. The sums of at most ``max_langs`` languages reach the driver."""
+def fit_prototypes(rows: DataFrame, dims: int = 512, max_rows_per_lang: int = 3000) -> Prototypes:
+    """rows(doc_id, text, lang): those to learn from. One sum of ``dims`` numbers for every language reaches the driver."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
-    if not counts:
-        return Prototypes((), np.zeros((0, dims), np.float32), dims)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(2**32 * min(1, max_rows_per_lang / n))))])
-    chosen = rows.where((F.xxhash64("doc_id", F.lit("language sample")).bitwiseAND(F.lit(2**32 - 1))) < F.element_at(share, F.col("lang")))
+    share = F.floor(F.lit(2.0**32) * F.least(F.lit(1.0), F.lit(float(max_rows_per_lang)) / F.col("count")))
+    counts = rows.groupBy("lang").count().select("lang", share.alias("share"))
+    place = F.xxhash64("doc_id", F.lit("language sample")).bitwiseAND(F.lit(2**32 - 1))
+    chosen = rows.join(F.broadcast(counts), "lang").where(place < F.col("share"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, total = Space(dims), {}
@@ -107,8 +106,10 @@ def fit_prototypes(rows: DataFrame, dims: int = 512, max_rows_per_lang: int = 30
         yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows_], pa.string()), "i": pa.array([r[1] for r in rows_], pa.int32()), "x": pa.array([r[2] for r in rows_], pa.float64())})
 
     found: dict[str, np.ndarray] = {}
-    for r in chosen.select("text", "lang").mapInArrow(sums, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x")).collect():
+    for r in chosen.select("text", "lang").mapInArrow(sums, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x")).toLocalIterator():
         found.setdefault(r.lang, np.zeros(dims))[r.i] = r.x
+    if not found:
+        return Prototypes((), np.zeros((0, dims), np.float32), dims)
     langs = tuple(sorted(found))
     return Prototypes(langs, _unit(np.array([found[x] for x in langs])).astype(np.float32), dims)
 
@@ -116,8 +117,10 @@ def fit_prototypes(rows: DataFrame, dims: int = 512, max_rows_per_lang: int = 30
 def predict(docs: DataFrame, model: Prototypes) -> DataFrame:
     """docs with lang_pred and score, rows as they are."""
     schema = docs.select("doc_id", "text").schema
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         space = Space(model.dims)
         for batch in batches:
             unit = _unit(space.profiles(byte_texts(batch.column(1))))
@@ -149,10 +152,11 @@ def keep_identified(docs: DataFrame, min_score: float = 0.15, min_bytes: int = 2
     """docs without the rows that have no letter, and without those of at least ``min_bytes`` bytes (shorter texts give
     no sure cosine) whose cosine to every prototype is below ``min_score``. Fits on rows that aren't held out; all
     columns stay."""
-    model = fit_prototypes(learnable(docs), **fit)
+    shared = docs.sparkSession.sparkContext.broadcast(fit_prototypes(learnable(docs), **fit))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         space = Space(model.dims)
         for batch in batches:
             texts = byte_texts(batch.column(at))

@@ -115,6 +115,12 @@ def test_language_held_out(spark, empty):
     assert {9001, 9002}.isdisjoint({r.doc_id for r in langid.keep_identified(d).collect()})
 
 
+def test_every_language_is_learned(spark):
+    rows = [(k, " ".join([chr(0x4E00 + 7 * k + i) + chr(0x4E00 + 7 * k + (i + 1) % 7) for i in range(7)] * 3), f"x{k:03}") for k in range(230)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.fit_prototypes(d).langs) == 230
+
+
 def test_language_binding():
     s = langid.Space(dims=64)
     c = s.trigrams("ab c".encode())
