@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,31 +40,64 @@ def remainder(id_col: Column, mod: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(mod)
 
 
+def _target(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder of the session. Only where none is set (tests), a local one is set."""
+    """A fresh path in the shared folder of the session. Where none is set, a session within one machine (tests) gets a
+    temporary one; any other raises, since executors could not read each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.sparkContext.setCheckpointDir(root)
+        drop_at_exit(spark, root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder, read back. Survives lost executors. The shuffle files behind ``df``
-    aren't needed any more; dropping its plan lets Spark's cleaner delete them."""
+def stored(df: DataFrame, what: str, release: bool = False) -> DataFrame:
+    """Cut the lineage: write to the shared folder, read back. Survives lost executors. The files go when the driver ends,
+    or before that by ``dropped``. ``release``: after a large shuffle, drop its plan and collect garbage, so that Spark's
+    cleaner deletes the shuffle files now."""
     spark, schema = df.sparkSession, df.schema
     path = shared_folder(spark, what)
     df.write.parquet(path)
+    drop_at_exit(spark, path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote. Nothing that is still to run may read it."""
+    for df in tables:
+        drop_folder(df.sparkSession, df.stored_at)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _target(spark, path)
+    system.delete(target, True)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete an existing folder when the driver ends."""
+    system, target = _target(spark, path)
+    system.deleteOnExit(target)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

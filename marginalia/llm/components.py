@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     now = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, before = stored(now, "links"), None
     for _ in range(max_rounds):
-        now = stored(_star(_star(now, True), False), "links")
+        last, now = now, stored(_star(_star(now, True), False), "links")
+        dropped(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select("v", "v").distinct().toDF("node", "root"))

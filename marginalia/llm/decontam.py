@@ -8,8 +8,9 @@ within e = floor(rate * m) edits of the item. Two bounds leave few regions:
   of width 2e + 1 at steps of e + 1, which overlap so that some band holds all of a region's hits;
 * the q-gram lemma: region and item share at least m - q + 1 - q * e of all overlapping q-grams.
 
-What is left is verified by alignment within the band. The filter loses nothing; ``e`` is lowered for short items so
-that both bounds stay positive. Items under ``min_item_bytes`` are looked up exactly (no edits), at bounds of words: a
+What is left is verified by alignment within the band. The filter loses nothing. Grams that many items share are passed
+over as far as the first bound allows, and hits are paired with postings a bounded number at a time, so phrases common
+to a whole benchmark cost neither memory nor much time. Items under ``min_item_bytes`` are looked up exactly (no edits), at bounds of words: a
 letter, digit or byte beyond ASCII at the item's edge has no other such byte next to it in the document.
 
 The items are broadcast in blocks of at most ``block_bytes``; a larger benchmark goes over the documents block by block.
@@ -56,8 +57,8 @@ def _slots(g: np.ndarray) -> np.ndarray:
 
 
 def budget(size: int, rate: float) -> int:
-    """Edits allowed for an item: both bounds must stay positive."""
-    return max(0, min(int(rate * size), (size - Q) // Q, size // Q - 2))
+    """Edits allowed for an item: both bounds must stay positive. At a tenth that lowers no item of 32 bytes or more."""
+    return max(0, min(int(rate * size), (size - Q) // Q, size // Q - 1))
 
 
 @dataclass
@@ -67,18 +68,18 @@ class Index:
     ids: list[int]
     texts: list[bytes]
     edits: np.ndarray
-    blocks: np.ndarray  # disjoint q-grams of each item
+    need: np.ndarray  # hits that a band of each item must have
     gram: np.ndarray  # sorted; posting i is of item[i] at place[i]
     item: np.ndarray
     place: np.ndarray
-    first: np.ndarray  # distinct grams, and where their postings begin
-    begin: np.ndarray
+    first: np.ndarray  # distinct grams
+    rank: np.ndarray  # posting i is of gram first[rank[i]]
     table: np.ndarray
     short: dict[bytes, list[int]] = field(default_factory=dict)  # places of the items to look up exactly
     short_sizes: dict[bytes, list[int]] = field(default_factory=dict)  # by first token
 
 
-def build_index(items: list[tuple[int, bytes]], rate: float, min_item_bytes: int) -> Index:
+def build_index(items: list[tuple[int, bytes]], rate: float, min_item_bytes: int, often: int = 32) -> Index:
     named = sorted((i, t) for i, t in ((i, normal(t)) for i, t in items) if t)
     items = [x for x in named if len(x[1]) >= min_item_bytes]
     exact = [x for x in named if len(x[1]) < min_item_bytes]  # places after those of ``items``
@@ -95,35 +96,68 @@ def build_index(items: list[tuple[int, bytes]], rate: float, min_item_bytes: int
         item.append(np.full(len(g), k))
         place.append(np.arange(len(g)) * Q)
     g, i, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, item, place))
-    g = g.astype(np.uint64)
-    order = np.argsort(g, kind="stable")
-    first, begin = np.unique(g[order], return_index=True)
-    table = np.zeros(1 << TABLE_BITS, bool)
-    table[_slots(first)] = True
+    g, i = g.astype(np.uint64), i.astype(np.int64)
     both = items + exact
     edits = np.array([budget(len(t), rate) for _, t in items] + [0] * len(exact), np.int64)
-    return Index([x for x, _ in both], [t for _, t in both], edits, np.array([len(t) // Q for _, t in both], np.int64), g[order], i[order].astype(np.int64), p[order].astype(np.int64), first, np.append(begin, len(g)), table, short, {k: sorted(v) for k, v in sizes.items()})
+    need = np.array([len(t) // Q for _, t in both], np.int64) - edits
+    g, i, p, need = _without_frequent(g, i, p.astype(np.int64), need, often)
+    order = np.lexsort((i, g))
+    first, rank = np.unique(g[order], return_inverse=True)
+    table = np.zeros(1 << TABLE_BITS, bool)
+    table[_slots(first)] = True
+    return Index([x for x, _ in both], [t for _, t in both], edits, need, g[order], i[order], p[order], first, rank, table, short, {k: sorted(v) for k, v in sizes.items()})
 
 
-def candidates(index: Index, texts: list[bytes]) -> list[tuple[int, int, int]]:
-    """(document, item, lowest diagonal of the band) of bands with hits enough."""
+def _without_frequent(g: np.ndarray, item: np.ndarray, place: np.ndarray, need: np.ndarray, often: int) -> tuple:
+    """Leave out postings of grams that more than ``often`` postings have, the most frequent first. Each of an item's
+    costs it one of the hits it needs, and two are left to need where it needed more, so no region is lost."""
+    _, which, count = np.unique(g, return_inverse=True, return_counts=True)
+    times = count[which] if len(g) else np.zeros(0, np.int64)
+    order = np.lexsort((-times, item))
+    start = np.searchsorted(item[order], np.arange(len(need)))
+    turn = np.arange(len(order)) - start[item[order]] if len(order) else np.zeros(0, np.int64)  # its place among its item's
+    out = np.zeros(len(g), bool)
+    out[order] = (times[order] > often) & (turn < need[item[order]] - 2)
+    return g[~out], item[~out], place[~out], need - np.bincount(item[out], minlength=len(need)).astype(np.int64)
+
+
+def candidates(index: Index, texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, int, int]]:
+    """(document, item, lowest diagonal of the band) of bands with hits enough. Hits are paired with postings ``most`` at a
+    time or a little more: of some documents, or of one document and some items."""
     starts = np.cumsum([0, *(len(t) + Q for t in texts)])
     joined = b"".join(t + b"\x00" * Q for t in texts)
     g = grams(joined)
     at = np.flatnonzero(index.table[_slots(g)]) if len(g) and len(index.first) else np.zeros(0, np.int64)
+    if not len(at):
+        return
     k = np.searchsorted(index.first, g[at])
-    ok = (k < len(index.first)) & (index.first[np.minimum(k, len(index.first) - 1)] == g[at]) if len(at) else np.zeros(0, bool)
+    ok = index.first[np.minimum(k, len(index.first) - 1)] == g[at]
     at, k = at[ok], k[ok]
-    n = index.begin[k + 1] - index.begin[k]
+    doc = np.searchsorted(starts, at, side="right") - 1
+    n_items = len(index.ids)
+    key = index.rank * n_items + index.item  # ascending
+    work = np.cumsum(np.concatenate([[0], np.searchsorted(key, (k + 1) * n_items) - np.searchsorted(key, k * n_items)]))
+    lo = 0
+    while lo < len(at):
+        hi = max(int(np.searchsorted(work, work[lo] + most, side="right")) - 1, lo + 1)
+        if hi < len(at):  # whole documents, if more than one
+            hi = first if (first := int(np.searchsorted(doc, doc[hi]))) > lo else int(np.searchsorted(doc, doc[lo], side="right"))
+        parts = min(n_items, -(-int(work[hi] - work[lo]) // (2 * most)))
+        cuts = np.linspace(0, n_items, max(1, parts) + 1).astype(np.int64)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield from _bands(index, starts, at[lo:hi], k[lo:hi], doc[lo:hi], np.searchsorted(key, k[lo:hi] * n_items + a), np.searchsorted(key, k[lo:hi] * n_items + b))
+        lo = hi
+
+
+def _bands(index: Index, starts: np.ndarray, at: np.ndarray, k: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
+    n = end - begin
     if not n.sum():
         return []
-    post = np.repeat(index.begin[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(at, n)
+    post = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at, doc = np.repeat(at, n), np.repeat(doc, n)
     item, place = index.item[post], index.place[post]
-    doc = np.searchsorted(starts, at, side="right") - 1
     diagonal = at - starts[doc] - place + 2**20  # items are far shorter
-    step = index.edits[item] + 1
-    need = index.blocks[item] - index.edits[item]
+    step, need = index.edits[item] + 1, index.need[item]
     band = np.concatenate([diagonal // step, diagonal // step - 1])  # a band spans two steps
     doc, item, need, step = (np.concatenate([x, x]) for x in (doc, item, need, step))
     order = np.lexsort((band, item, doc))

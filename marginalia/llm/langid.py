@@ -76,6 +76,16 @@ class Space:
         return out
 
 
+_SPACES: dict[int, Space] = {}
+
+
+def space_of(dims: int) -> Space:
+    """One a worker process: making the letter table takes half a second."""
+    if dims not in _SPACES:
+        _SPACES[dims] = Space(dims)
+    return _SPACES[dims]
+
+
 @dataclass(frozen=True)
 class Prototypes:
     langs: tuple[str, ...]
@@ -96,7 +106,7 @@ def fit_prototypes(rows: DataFrame, dims: int = 512, max_rows_per_lang: int = 30
     chosen = rows.join(F.broadcast(counts), "lang").where(place < F.col("share"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, total = Space(dims), {}
+        space, total = space_of(dims), {}
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             unit = _unit(space.profiles(byte_texts(batch.column(0))))
@@ -121,7 +131,7 @@ def predict(docs: DataFrame, model: Prototypes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        space = Space(model.dims)
+        space = space_of(model.dims)
         for batch in batches:
             unit = _unit(space.profiles(byte_texts(batch.column(1))))
             known = np.abs(unit).sum(1) > 0
@@ -157,7 +167,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.15, min_bytes: int = 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        space = Space(model.dims)
+        space = space_of(model.dims)
         for batch in batches:
             texts = byte_texts(batch.column(at))
             unit = _unit(space.profiles(texts))

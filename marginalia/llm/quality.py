@@ -1,7 +1,8 @@
 """Quality rules: distribution divergence.
 
-A document's character-class histogram and common-word histogram are compared with references, one a language, by the
-Jensen-Shannon distance (base 2, so 0 to 1). The nearest reference counts. Histograms of short documents say little, so
+A document's character-class histogram and its histogram of a language's common words and all others are compared with
+references, one for every language of the table, by the Jensen-Shannon distance (base 2, so 0 to 1). The reference of
+least sum of both distances counts, of equals the first by name. Histograms of short documents say little, so
 each of both tests has a minimum length below which it passes.
 
 Defined results: a null or empty text has no words and fails the base rules; a null id is carried through; rows are
@@ -59,12 +60,12 @@ CLASS_OF_BYTE = _class_matrix()
 
 @dataclass(frozen=True)
 class References:
-    """langs in order; classes: (langs, CLASSES) shares; words: common words of all languages, lower case, in order;
-    word_shares: (langs, words + 1) shares, the last for all other words."""
+    """langs in order; classes: (langs, CLASSES) shares; words: each language's common words, lower case, most frequent
+    first; word_shares: (langs, most words + 1) shares of these words, the last column for all other words."""
 
     langs: tuple[str, ...]
     classes: np.ndarray
-    words: tuple[bytes, ...]
+    words: tuple[tuple[bytes, ...], ...]
     word_shares: np.ndarray
 
 
@@ -81,10 +82,11 @@ def _common_form(word: bytes) -> bytes:
     return word.strip(TRIM).lower()
 
 
-def fit_references(docs: DataFrame, common: int = 64, max_langs: int = 64, flush: int = 300_000) -> References:
-    """Statistics over all rows with a language. Tasks add up words before the shuffle and flush a full table early;
-    each partition of the sums keeps its ``common`` largest words a language, so what reaches the driver is bounded by
-    partitions x languages x ``common``. ``max_langs``: the most frequent languages that get a reference."""
+def fit_references(docs: DataFrame, common: int = 64, flush: int = 300_000, buckets: int = 8) -> References:
+    """Statistics over all rows with a language, a reference for each. Tasks add up words before the shuffle and flush a
+    full table early; each partition of the sums keeps its ``common`` largest words a language, and so does each of
+    ``buckets`` parts of what is left, so that languages x buckets x common rows reach the driver, however many rows and
+    partitions there are. A reference takes a few kB."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = defaultdict(Counter)
@@ -118,60 +120,82 @@ def fit_references(docs: DataFrame, common: int = 64, max_langs: int = 64, flush
         yield out()
 
     def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each language the sums of what stands for no word, and the largest words."""
         best: dict[str, list] = defaultdict(list)
-        total: Counter = Counter()
+        other: Counter = Counter()
 
         def cut(name: str) -> None:
             best[name] = sorted(best[name], key=lambda x: (-x[1], x[0]))[:common]
 
-        rest: list[tuple] = []
         for batch in batches:
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if word[:1] == b"\x00":
-                    rest.append((lang, word, n))
+                    other[lang, word] += n
                 elif word:
-                    total[lang] += n
                     best[lang].append((word, n))
                     if len(best[lang]) > 50 * common:
                         cut(lang)
         for name in list(best):
             cut(name)
-        rows = rest + [(lang, w, n) for lang, x in best.items() for w, n in x] + [(lang, b"\x00words", n) for lang, n in total.items()]
+        rows = [(*k, n) for k, n in other.items()] + [(lang, w, n) for lang, x in best.items() for w, n in x]
         yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "word": pa.array([r[1] for r in rows], pa.binary()), "n": pa.array([r[2] for r in rows], pa.int64())})
 
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds to each batch the sum of its words, a language at a time."""
+        for batch in batches:
+            total: Counter = Counter()
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if word and word[:1] != b"\x00":
+                    total[lang] += n
+            yield batch
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "word": pa.array([b"\x00words"] * len(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
+
     schema = "lang string, word binary, n long"
     sums = docs.select("lang", "text").mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = sums.mapInArrow(totals, schema).mapInArrow(largest, schema).repartition(parts, "lang", F.pmod(F.xxhash64("word"), F.lit(buckets)))
     found: dict[str, Counter] = defaultdict(Counter)
-    for r in sums.mapInArrow(largest, schema).collect():
+    for r in few.mapInArrow(largest, schema).toLocalIterator():
         found[r.lang][bytes(r.word)] += r.n
-    langs = sorted(sorted(found, key=lambda x: (-found[x][b"\x00words"], x))[:max_langs])
-    top = {x: sorted(((w, n) for w, n in found[x].items() if w[:1] != b"\x00"), key=lambda t: (-t[1], t[0]))[:common] for x in langs}
-    words = tuple(sorted({w for x in langs for w, _ in top[x]}))
-    at = {w: i for i, w in enumerate(words)}
-    shares = np.zeros((len(langs), len(words) + 1))
+    langs = sorted(found)
+    top = [sorted(((w, n) for w, n in found[x].items() if w[:1] != b"\x00"), key=lambda t: (-t[1], t[0]))[:common] for x in langs]
+    shares = np.zeros((len(langs), max((len(t) for t in top), default=0) + 1))
     classes = np.zeros((len(langs), len(CLASSES)))
-    for i, x in enumerate(langs):
-        for w, n in top[x]:
-            shares[i, at[w]] = n
-        shares[i, -1] = max(0, found[x][b"\x00words"] - shares[i].sum())
+    for i, (x, t) in enumerate(zip(langs, top, strict=True)):
+        shares[i, : len(t)] = [n for _, n in t]
+        shares[i, -1] = max(0, found[x][b"\x00words"] - sum(n for _, n in t))
         classes[i] = [found[x][b"\x00" + c.encode()] for c in CLASSES]
     norm = lambda a: a / np.maximum(a.sum(1, keepdims=True), 1)
-    return References(tuple(langs), norm(classes), words, norm(shares))
+    return References(tuple(langs), norm(classes), tuple(tuple(w for w, _ in t) for t in top), norm(shares))
 
 
 class WordIds(dict):
-    """Integers for words as they come; ``slot`` gets each new word's place among the common words."""
+    """Integers for words as they come; ``slots`` gets each new word's places among the common words of all languages."""
 
-    def __init__(self, common: dict[bytes, int], slot: list[int]):
+    def __init__(self, common: dict[bytes, list[int]], slots: list[list[int]]):
         super().__init__()
-        self.common, self.slot = common, slot
+        self.common, self.slots = common, slots
 
     def __missing__(self, word: bytes) -> int:
-        self.slot.append(self.common.get(_common_form(word), len(self.common)))
+        self.slots.append(self.common.get(_common_form(word), []))
         self[word] = n = len(self)
         return n
 
 
+def word_histograms(found: list[np.ndarray], slots: list[list[int]], langs: int, width: int) -> np.ndarray:
+    """(texts, langs, width) counts of each language's common words, the last for all others. found: word ids a text."""
+    sizes = np.array([len(x) for x in slots], np.int64)
+    flat = np.array([s for x in slots for s in x], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    out = np.zeros((len(found), langs, width))
+    for i, ids in enumerate(found):
+        n = sizes[ids]
+        at = np.repeat(begin[ids], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[i] = np.bincount(flat[at], minlength=langs * width).reshape(langs, width)
+        out[i, :, -1] = len(ids) - out[i].sum(1)
+    return out
+
+
 def repeated_words(ids: np.ndarray, window: int = 8) -> int:
     """Words in windows of eight that occur twice or more. ids: one integer a distinct word. Hashes of the windows rule
     most texts out; only texts with equal hashes are looked at exactly."""
@@ -219,23 +243,30 @@ def score_quality(
 ) -> DataFrame:
     """Per row of docs(doc_id, text): the counts, the distances to the nearest reference and the verdict. The word distance
     is judged by the nearest reference's limit."""
-    limits = word_limits(refs, min_words, max_word_distance)
+    limits, shared = word_limits(refs, min_words, max_word_distance), docs.sparkSession.sparkContext.broadcast(refs)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, nearest string, kept boolean"
     arrow = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64()), ("nearest", pa.string()), ("kept", pa.bool_())])
     symbols, spaces = np.frombuffer(SYMBOLS, np.uint8), np.frombuffer(b"\t\n\x0b\x0c\r ", np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = {w: i for i, w in enumerate(refs.words)}
+        refs = shared.value
+        width = refs.word_shares.shape[1]
+        common: dict[bytes, list[int]] = {}
+        for i, words in enumerate(refs.words):
+            for j, w in enumerate(words):
+                common.setdefault(w, []).append(i * width + j)
+        step = max(1, (1 << 21) // max(1, refs.word_shares.size))  # texts whose histograms are held at once
         for batch in batches:
             texts = byte_texts(batch.column(1))
-            slot: list[int] = []  # common word of each word id
-            seen = WordIds(common, slot)
+            slots: list[list[int]] = []
+            seen = WordIds(common, slots)
             out: dict[str, list] = {f.name: [] for f in arrow}
-            bins = np.zeros((len(texts), len(refs.words) + 1))
+            found: list[np.ndarray] = []
             kinds = np.zeros((len(texts), len(CLASSES)))
             for i, text in enumerate(texts):
                 words = text.split()
                 ids = np.array([seen[w] for w in words], dtype=np.int64)
+                found.append(ids)
                 bytes_of = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
                 kinds[i] = CLASS_OF_BYTE @ bytes_of
                 lines = [x for x in text.split(b"\n") if x.strip()]
@@ -246,16 +277,17 @@ def score_quality(
                 out["n_dup_lines"].append(len(lines) - len(set(lines)))
                 out["n_repeat_words"].append(repeats)
                 out["base_failed"].append(len(words) < 20 or 100 * repeats > 30 * len(words))
-                if len(words):
-                    bins[i] = np.bincount([slot[x] for x in ids.tolist()], minlength=len(common) + 1)
             n_words, chars = np.array(out["n_words"]), kinds.sum(1)
             if refs.langs:
-                shares = lambda a: a / np.maximum(a.sum(1, keepdims=True), 1)
-                k = js_distance(shares(kinds)[:, None, :], refs.classes[None])
-                w = np.concatenate([js_distance(shares(bins[j : j + 256])[:, None, :], refs.word_shares[None]) for j in range(0, len(bins), 256)])
-                best = (k + w).argmin(1)
-                rows = np.arange(len(texts))
-                k, w = k[rows, best], w[rows, best]
+                shares = lambda a: a / np.maximum(a.sum(-1, keepdims=True), 1)
+                best, k, w = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
+                for j in range(0, len(texts), step):
+                    own = slice(j, j + step)
+                    a = js_distance(shares(kinds[own])[:, None, :], refs.classes[None])
+                    b = js_distance(shares(word_histograms(found[own], slots, len(refs.langs), width)), refs.word_shares[None])
+                    best[own] = pick = (a + b).argmin(1)
+                    rows = np.arange(len(pick))
+                    k[own], w[own] = a[rows, pick], b[rows, pick]
                 far = ((chars >= min_chars) & (k > max_class_distance)) | ((n_words >= min_words) & (w > limits[best]))
                 out["class_distance"], out["word_distance"] = k.tolist(), w.tolist()
                 out["nearest"] = [refs.langs[j] for j in best]

@@ -13,7 +13,9 @@ each block, and a footer of fixed size.
     footer  = index offset, index size, bloom offset, bloom size, entries, ids : u64, "MGSSTAB1"
 
 A key is 0x00 for a null id, else 0x01 and the id with its sign bit turned, big-endian; a running u32 follows, which
-tells rows with equal ids apart. Files are written under a task's own name and then renamed, so tasks may run again.
+tells rows with equal ids apart. Files are written under a task's own name and then renamed, so tasks may run again. The
+folder's manifest.json lists the shards in order, each with its first and last id, rows and ids, so files can be read
+and looked up later without anything else.
 
 Defined results: null and empty texts encode to nothing and get the end id alone; null ids come first; rows with equal
 ids follow one another in the order of their texts; extra columns are ignored; an empty table writes no shard.
@@ -21,6 +23,7 @@ ids follow one another in the order of their texts; extra columns are ignored; a
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -36,9 +39,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import drop_at_exit, shared_folder
 
-MAGIC = b"MGSSTAB1"
+MAGIC, MANIFEST = b"MGSSTAB1", "manifest.json"
 FOOTER = struct.Struct("<6Q8s")
 RESTART = 16
 #: The code points with the Unicode property White_Space. A token never reaches from other text into these.
@@ -80,8 +83,9 @@ class Encoder:
             ends = np.cumsum([len(p.encode()) for p in own])
             reached = np.cumsum(self.sizes[ids])
             cuts = np.searchsorted(reached, ends)
-            if len(ids) == 0 or (reached[np.minimum(cuts, len(ids) - 1)] != ends).any():
-                raise ValueError("the tokenizer joins what white space parts")
+            if len(ids) == 0 or (reached[np.minimum(cuts, len(ids) - 1)] != ends).any():  # a token reaches over a cut
+                out |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(own, self.tokenizer.encode_batch(own, add_special_tokens=False), strict=True)}
+                continue
             flat, at = ids.tobytes(), 0
             for p, c in zip(own, (4 * (cuts + 1)).tolist(), strict=True):
                 out[p] = flat[at:c]
@@ -278,11 +282,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> l
     """Write docs(doc_id, text) below ``folder``; a dict a shard, in order of identifiers: path, rows, ids."""
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    where, base = pafs.FileSystem.from_uri(folder)
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = writer = None
+        encoder = writer = first = None
         part = TaskContext.get()
         where, base = pafs.FileSystem.from_uri(folder)
         name = f"{base}/shard-{part.partitionId():06d}.sst"
@@ -296,6 +301,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> l
                 where.create_dir(base, recursive=True)
                 sink = where.open_output_stream(own)
                 writer = Writer(sink)
+                first = batch.column(0)[0].as_py()
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1).to_pylist()), strict=True):
                 count = count + 1 if last == (doc_id,) else 0
                 last = (doc_id,)
@@ -304,26 +310,85 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> l
             writer.close()
             sink.close()
             where.move(own, name)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part.partitionId()], pa.int32()), "path": [name], "rows": pa.array([writer.entries], pa.int64()), "ids": pa.array([writer.ids], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part.partitionId()], pa.int32()), "path": [name.rpartition("/")[2]], "first": pa.array([first], pa.int64()), "last": pa.array(last, pa.int64()), "rows": pa.array([writer.entries], pa.int64()), "ids": pa.array([writer.ids], pa.int64())})
+
+    rows = ordered.mapInArrow(run, "part int, path string, first long, last long, rows long, ids long").collect()  # one a shard
+    shards = [{c: r[c] for c in ("path", "first", "last", "rows", "ids")} for r in sorted(rows, key=lambda r: r.part)]
+    where.create_dir(base, recursive=True)
+    with where.open_output_stream(f"{base}/{MANIFEST}") as sink:
+        sink.write(json.dumps({"format": MAGIC.decode(), "end_id": end_id, "shards": shards}).encode())
+    return shards
+
+
+def manifest(folder: str) -> list[dict]:
+    """The shards of a folder, as write_shards gave them."""
+    where, base = pafs.FileSystem.from_uri(folder)
+    with where.open_input_file(f"{base}/{MANIFEST}") as source:
+        return json.loads(source.read())["shards"]
+
+
+def _place(doc_id: int | None) -> tuple:
+    return (doc_id is not None, doc_id or 0)
 
-    rows = ordered.mapInArrow(run, "part int, path string, rows long, ids long").collect()  # one a shard
-    return [{"path": r.path, "rows": r.rows, "ids": r.ids} for r in sorted(rows)]
 
+def lookup(ids: DataFrame, folder: str) -> DataFrame:
+    """ids(doc_id) -> (doc_id, n, token_ids) of each row of the shards with such an id, by binary search: ids go to the task
+    of their shard, where filter, sparse index and restart points find them. An id that no shard has gives no row; an id
+    asked for twice gives its rows twice. n counts the rows of one id."""
+    spark, shards = ids.sparkSession, manifest(folder)
+    schema = "doc_id long, n int, token_ids array<long>"
+    if not shards:
+        return spark.createDataFrame([], schema)
+    firsts, lasts = ([_place(s[c]) for s in shards] for c in ("first", "last"))
 
-def read_shards(spark, folder: str, shards: list[dict]) -> DataFrame:  # noqa: ANN001
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; one task a shard."""
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked, shard = [], []
+            for x in batch.column(0).to_pylist():
+                k = _place(x)
+                for i in range(bisect_left(lasts, k), len(shards)):  # rows of one id may lie in two shards that touch
+                    if firsts[i] > k:
+                        break
+                    asked.append(x)
+                    shard.append(i)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(asked, pa.int64()), "shard": pa.array(shard, pa.int32())})
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by shard, so one shard is open at a time."""
+        where, base = pafs.FileSystem.from_uri(folder)
+        at, source, reader = None, None, None
+        for batch in batches:
+            rows: list[tuple] = []
+            for x, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if i != at:
+                    if source is not None:
+                        source.close()
+                    at, source = i, where.open_input_file(f"{base}/{shards[i]['path']}")
+                    reader = Reader(source)
+                rows += [(x, n, v) for n, v in enumerate(reader.get(x))]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int32()), "token_ids": pa.array([r[2].astype(np.int64) for r in rows], pa.list_(pa.int64()))})
+        if source is not None:
+            source.close()
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    routed = ids.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(route, "doc_id long, shard int")
+    return routed.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id").mapInArrow(find, schema)
+
+
+def read_shards(spark, folder: str) -> DataFrame:  # noqa: ANN001
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from manifest and files; one task a shard."""
+    schema, shards = "doc_id long, start long, n_tokens long, ids_crc32 long", manifest(folder)
     if not shards:
         return spark.createDataFrame([], schema)
     starts = np.concatenate(([0], np.cumsum([s["ids"] for s in shards]))).tolist()
     paths = [s["path"] for s in shards]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, _ = pafs.FileSystem.from_uri(folder)
+        where, base = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for i in batch.column(0).to_pylist():
                 at, rows = starts[i], []
-                with where.open_input_file(paths[i]) as source:
+                with where.open_input_file(f"{base}/{paths[i]}") as source:
                     for key, value in Reader(source).scan():
                         ids = unpack_ids(value)
                         rows.append((id_of(key), at, len(ids), zlib.crc32(ids.tobytes())))
@@ -344,7 +409,9 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write shards to the shared folder and report from them."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "token-ids")
-    return read_shards(spark, folder, write_shards(docs, tokenizer, end_id, folder))
+    write_shards(docs, tokenizer, end_id, folder)
+    drop_at_exit(spark, folder)
+    return read_shards(spark, folder)
 
 
 def total_ids(table: DataFrame) -> int:

@@ -2,15 +2,16 @@
 
 Features: densities of a fixed lexicon and of one learned from the training rows, hits near a second-person word,
 capitals, punctuation and obfuscation rates. Trees split on histogram bins and fit the logistic loss by Newton steps;
-a held-back fifth of the training rows calibrates their scores.
+a held-back fifth of the training rows of each label calibrates their scores.
 
 Training takes at most ``max_rows`` labelled rows (a documented bound), chosen by a hash of the id; only their features
 reach the driver. Scoring goes over all rows, whole texts.
 
 Defined results: null and empty texts have no hits and get the score of such rows; a null id is scored, never held out,
 never learned from; a document with several labels counts once a label; rows are scored one by one, so repeated rows
-repeat; with no labelled rows, or labels of one kind only, every score is that kind's share (0.5 without any); extra
-columns are ignored.
+repeat; with no labelled rows, or labels of one kind only, every score is that kind's share (0.5 without any); where a
+label has fewer than ``fewest`` training rows, no trees are grown and the density of insults in plain or hidden spelling,
+calibrated on all training rows, is the score; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, remainder, stored
+from .common import byte_texts, dropped, remainder, stored
 
 #: Common insults of four languages, as UTF-8, lower case.
 INSULTS = frozenset(
@@ -173,9 +174,15 @@ class Model:
     constant: float = 0.5
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        if self.trees is None or self.points is None:
+        if self.points is None:
             return np.full(len(x), self.constant)
-        return np.clip(np.interp(self.trees.raw(x), *self.points), 0.0, 1.0)
+        return np.clip(np.interp(insult_density(x) if self.trees is None else self.trees.raw(x), *self.points), 0.0, 1.0)
+
+
+def insult_density(x: np.ndarray) -> np.ndarray:
+    """Hits a hundred words, from rows of FEATURES."""
+    at = [FEATURES.index(c) for c in ("lexicon_hits", "learned_hits", "obfuscated_hits")]
+    return 100.0 * x[:, at].sum(1) / np.maximum(x[:, FEATURES.index("words")], 1)
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, mod: int, out: int, max_rows: int) -> DataFrame:
@@ -214,23 +221,33 @@ def _learned_words(rows: DataFrame, least: int, at_most: int) -> dict[bytes, flo
     return {bytes(r.word): float(r.w) for r in top.collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, out: int = 1, max_rows: int = 20_000, least: int = 6, max_learned: int = 600) -> Model:
-    """Learn from rows of labels(doc_id, toxic) whose crc32(id) mod ``mod`` is not ``out``."""
+def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, out: int = 1, max_rows: int = 20_000, max_learned: int = 600, fewest: int = 10) -> Model:
+    """Learn from rows of labels(doc_id, toxic) whose crc32(id) mod ``mod`` is not ``out``. A word is learned if three rows
+    and 0.3 % of those with label 1 have it."""
     rows = _sampled(docs, labels, mod, out, max_rows)
-    held_back = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0  # neither words nor trees learn from it
-    rows = rows.withColumn("fold", held_back)
-    learned = _learned_words(rows.where(~F.col("fold")), least, max_learned)
+    # neither words nor trees learn from a fifth of a label's rows, by a hash; the least hash is always in, the largest out
+    mark = F.xxhash64("doc_id", F.lit("calibration"))
+    ends = rows.groupBy("toxic").agg(F.min_by("doc_id", mark).alias("lo"), F.max_by("doc_id", mark).alias("hi")).collect()  # one row a label
+    fold = F.pmod(mark, F.lit(5)) == 0
+    for r in ends:
+        fold = F.when((F.col("toxic") == r.toxic) & (F.col("doc_id") == r.lo), True).when((F.col("toxic") == r.toxic) & (F.col("doc_id") == r.hi), False).otherwise(fold)
+    kept = rows.withColumn("fold", fold)
+    bad = kept.where("toxic = 1 and not fold").count()
+    learned = _learned_words(kept.where(~F.col("fold")), max(3, round(0.003 * bad)), max_learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "toxic": batch.column(2), "fold": batch.column(3), "x": pa.array([features(t, learned) for t in byte_texts(batch.column(1))], pa.list_(pa.float64()))})
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, toxic int, fold boolean, x array<double>").collect(), key=lambda r: (r.doc_id, r.toxic, r.x))
+    got = sorted(kept.mapInArrow(run, "doc_id long, toxic int, fold boolean, x array<double>").collect(), key=lambda r: (r.doc_id, r.toxic, r.x))
+    dropped(rows)
     y = np.array([r.toxic == 1 for r in got], float)
-    fold = np.array([r.fold for r in got], bool)
-    if len(got) < 50 or any(len(y[k]) == 0 or y[k].min() == y[k].max() for k in (fold, ~fold)):
+    if len(y) == 0 or y.min() == y.max():
         return Model(learned, None, None, float(y.mean()) if len(got) else 0.5)
     x = np.array([r.x for r in got])
+    if min(y.sum(), len(y) - y.sum()) < fewest:
+        return Model(learned, None, fit_isotonic(insult_density(x), y))
+    fold = np.array([r.fold for r in got], bool)
     trees = fit_trees(x[~fold], y[~fold])
     return Model(learned, trees, fit_isotonic(trees.raw(x[fold]), y[fold]))
 

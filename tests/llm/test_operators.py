@@ -403,3 +403,121 @@ def test_shard_lookup():
     bad[20] ^= 255
     with pytest.raises(ValueError):
         list(tokenids.Reader(io.BytesIO(bytes(bad))).scan())
+
+
+def test_quality_verdict_by_hand(spark, docs):
+    """References, distances, limits and verdict against plain Python."""
+    import math
+
+    refs = quality.fit_references(docs, common=5)
+    rows = docs.collect()
+    langs = sorted({r.lang for r in rows if r.lang is not None})
+    form = lambda w: w.strip(b".,;:!?\"'()").lower()
+
+    def kinds(b):
+        c = Counter()
+        for x in b.decode():
+            o = x.encode()
+            c["beyond_ascii" if len(o) > 1 else "lower" if x.islower() else "upper" if x.isupper() else "digit" if x.isdigit() else "space" if o.isspace() else "sentence" if o in b".,;:!?\"'()-" else "symbol" if 32 < ord(x) < 127 else "other"] += 1
+        return [c[k] for k in quality.CLASSES]
+
+    share = lambda v: [x / max(1, sum(v)) for x in v]
+
+    def distance(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+        d = lambda x: sum(a * math.log2(a / c) for a, c in zip(x, m, strict=True) if a > 0)
+        return math.sqrt(max(0.0, (d(p) + d(q)) / 2))
+
+    made = {}
+    for lang in langs:
+        own = [(r.text or "").encode() for r in rows if r.lang == lang]
+        c = Counter(f for b in own for w in b.split() if (f := form(w)))
+        top = sorted(c, key=lambda w: (-c[w], w))[:5]
+        made[lang] = (share([sum(x) for x in zip(*map(kinds, own), strict=True)]), top, share([*(c[w] for w in top), sum(c.values()) - sum(c[w] for w in top)]))
+    assert refs.langs == tuple(langs) and [list(w) for w in refs.words] == [made[x][1] for x in langs]
+    limits = quality.word_limits(refs, 60, 0.5)
+    got = quality.score_quality(docs, refs).collect()
+    texts = {r.doc_id: r.text for r in rows}
+    for r in got:
+        b = (texts[r.doc_id] or "").encode()
+        words = [form(w) for w in b.split()]
+        found = []
+        for i, lang in enumerate(langs):
+            classes, top, shares = made[lang]
+            h = [words.count(w) for w in top]
+            found.append((distance(share(kinds(b)), classes), distance(share([*h, len(words) - sum(h)]), shares), i))
+        k, w, i = min(found, key=lambda x: (round(x[0] + x[1], 9), x[2]))
+        assert abs(r.class_distance - k) < 1e-9 and abs(r.word_distance - w) < 1e-9 and r.nearest == langs[i]
+        far = (len(b.decode()) >= 200 and k > 0.3) or (len(words) >= 60 and w > limits[i])
+        assert r.kept == (not r.base_failed and not far)
+        assert r.n_symbols == sum(b.count(x) for x in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))
+
+
+def test_every_language_has_a_reference(spark):
+    rows = [(k, " ".join(f"w{k}x{i % 9}" for i in range(90)), f"x{k:03}") for k in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality.fit_references(df)
+    assert len(refs.langs) == 70 and {r.nearest for r in quality.score_quality(df, refs).collect()} == set(refs.langs)
+
+
+def test_items_of_common_phrases_are_found():
+    """Grams that all items share, and hits paired with postings a few at a time."""
+    rng = random.Random(21)
+    items = ["which of the following statements about the subject is true: " + text_of(rng, 8) for _ in range(90)]
+    index = decontam.build_index([(i, t.encode()) for i, t in enumerate(items)], 0.1, 32, often=4)
+    assert len(index.gram) < sum(len(t) // decontam.Q for t in index.texts) and (index.need >= 1).all()
+    plain = decontam.build_index([(i, t.encode()) for i, t in enumerate(items)], 0.1, 32, often=10**9)
+    texts = []
+    for _ in range(60):
+        p = bytearray(rng.choice(items).encode())
+        for _ in range(rng.randint(0, 9)):
+            p[rng.randrange(len(p))] = 113
+        texts.append(text_of(rng, 5).encode() + b" " + bytes(p) + b" " + text_of(rng, 5).encode())
+    whole = decontam.find_items(plain, texts)
+    assert decontam.find_items(index, texts) == whole and any(whole)
+    few = set(decontam.candidates(plain, texts, most=50))
+    assert few == set(decontam.candidates(plain, texts))
+    assert all(decontam.budget(n, 0.1) == n // 10 for n in range(32, 2000))
+
+
+def test_shards_are_read_and_searched_later(spark, docs, empty, tmp_path):
+    path, folder = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/shards"
+    tokenids.write_shards(docs, path, 2, folder)
+    shards = tokenids.manifest(folder)
+    assert sum(s["rows"] for s in shards) == docs.count() == tokenids.read_shards(spark, folder).count()
+    from tokenizers import Tokenizer
+
+    t, asked = Tokenizer.from_file(path), [3, 0, 39, 105, 104, 777, -1, None, 100]
+    got = sorted((str(r.doc_id), list(r.token_ids)) for r in tokenids.lookup(spark.createDataFrame([(x,) for x in asked], "doc_id long"), folder).collect())
+    want = sorted((str(r.doc_id), [*t.encode(r.text or "", add_special_tokens=False).ids, 2]) for r in docs.collect() if r.doc_id in asked)
+    assert got == want and len([x for x, _ in got if x == "3"]) == 2
+    tokenids.write_shards(empty, path, 2, folder + "-none")
+    assert tokenids.manifest(folder + "-none") == [] and tokenids.lookup(docs, folder + "-none").count() == 0
+
+
+def test_trees_and_isotonic_by_hand():
+    """The first tree's splits by trying all; the isotonic fit by the minimax formula."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (300, 3)).astype(float)
+    y = ((x[:, 1] > 2) ^ (rng.random(300) < 0.1)).astype(float)
+    one = toxicity.fit_trees(x, y, rounds=1, depth=1, rate=1.0)
+    share = y.mean()
+    g, h = share - y, np.full(300, share * (1 - share))
+    best = max(((g[x[:, j] <= t].sum() ** 2 / (h[x[:, j] <= t].sum() + 5) + g[x[:, j] > t].sum() ** 2 / (h[x[:, j] > t].sum() + 5), j, t) for j in range(3) for t in range(6)), key=lambda s: s[0])
+    (feature, threshold), leaf = one.nodes[0], one.leaves[0]
+    left = x[:, feature[0]] <= threshold[0]
+    assert (feature[0], set(np.flatnonzero(left))) == (best[1], set(np.flatnonzero(x[:, best[1]] <= best[2])))
+    assert np.allclose(leaf, [-g[left].sum() / (h[left].sum() + 5), -g[~left].sum() / (h[~left].sum() + 5)])
+    s, y = np.sort(rng.normal(size=60)), rng.integers(0, 2, 60).astype(float)
+    px, py = toxicity.fit_isotonic(s, y)
+    want = [max(min(y[a : b + 1].mean() for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]
+    assert np.allclose(np.interp(s, px, py), want)
+
+
+def test_few_labels_still_score(spark):
+    rows = [(i, "you are an idiot" if i % 8 == 0 else "a walk by the river") for i in range(40)] + [(90, None), (91, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic", F.lit(9)).withColumn("fold", F.lit("x"))
+    model = toxicity.fit(d, spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(40)], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(d, model).collect()}
+    assert model.trees is None and all(got[i].predicted == (i % 8 == 0) for i in range(40)) and got[90].score == got[91].score < 0.5
+    assert toxicity.score_toxicity(d.limit(0), model).count() == 0
