@@ -2,14 +2,16 @@
 
 Every task notes the keys it has seen once and those it has seen twice; merged filters send what two tasks saw once to
 the second filter, bit by bit, so a repeated key is never missed. Only keys in the second filter - repeats and few false
-hits - are shuffled, with their documents, to be counted exactly and to choose the document that keeps the line.
+hits - are shuffled, as 128-bit digests with their documents, to be counted exactly and to choose the document that
+keeps the line. Only documents that lose a line are shuffled, to meet their lines; a third filter, over their ids, lets
+all others pass where they are.
 
-The filters' size follows the number of documents up to ``max_bits`` (128 MB); beyond that more false hits are shuffled
-and the result stays exact. What is broadcast is the second filter, so its size is bounded.
+The filters' size follows the number of documents up to ``max_bits`` (128 MB); beyond that more false hits are shuffled,
+24 bytes each, and the result stays exact. What is broadcast are the filters, so its size is bounded.
 
 Defined results: a null or empty text is one empty line; rows with a null id count as one document, which never is the
-largest; repeated rows of one id count as one document and get the same lines dropped; extra columns are ignored by
-``line_drops`` and kept by ``dedup_lines``; an empty table gives an empty table.
+largest; repeated rows of one id count as one document and get the same lines dropped; extra columns, whatever their
+names, are ignored by ``line_drops`` and kept by ``dedup_lines``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import SPACES, byte_texts, stored
+from .common import SPACES, byte_texts, dropped, stored, unused
 
 SEGMENT_BITS = 1 << 19
 HASHES = 4
@@ -128,8 +131,12 @@ def _key_hashes(texts: list[bytes], min_chars: int) -> np.ndarray:
     return np.array([h for t in texts for h in {xxhash.xxh3_64_intdigest(k) for k in line_keys(t, min_chars) if k is not None}], np.uint64)
 
 
-def line_drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per_doc: int = 512, max_bits: int = 1 << 30) -> DataFrame:
-    """(doc_id, keys): the keys whose lines the document loses."""
+def _digest(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
+
+
+def line_drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per_doc: int = 512, max_bits: int = 1 << 30, few: int = 500_000) -> DataFrame:
+    """(doc_id, keys): digests of the keys whose lines the document loses."""
     spark = docs.sparkSession
     bits = filter_bits(docs.count() * bits_per_doc, max_bits)
     twice = spark.sparkContext.broadcast(seen_twice(docs, lambda texts: _key_hashes(texts, min_chars), bits))
@@ -146,18 +153,58 @@ def line_drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per
                 continue
             hit = probably_twice(packed, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64))
             found = np.flatnonzero(hit)
-            yield pa.RecordBatch.from_pydict({"key": pa.array([keys[i] for i in found], pa.binary()), "doc_id": batch.column(0).take(pa.array(np.array(rows)[found]))})
+            yield pa.RecordBatch.from_pydict({"key": pa.array([_digest(keys[i]) for i in found], pa.binary()), "doc_id": batch.column(0).take(pa.array(np.array(rows)[found]))})
 
     pairs = stored(docs.select("doc_id", "text").mapInArrow(suspects, "key binary, doc_id long"), "line-suspects")
     exact = pairs.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
     exact = stored(exact.select("key", "last"), "line-repeats")
-    lost = pairs.join(exact, "key").where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("last")))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    # up to ``few`` keys of 24 bytes are sent to the pairs; beyond that both are shuffled, and hot keys split by the planner
+    met = pairs.join(F.broadcast(exact) if exact.count() <= few else exact, "key")
+    lost = met.where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("last")))
+    out = stored(lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "line-drops")
+    dropped(pairs, exact)
+    return out
+
+
+def _id_hashes(ids: pa.Array) -> np.ndarray:
+    """Of integer ids; nulls have one of their own."""
+    h = ids.cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False).view(np.uint64)
+    with np.errstate(over="ignore"):
+        h = (h + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def map_with(docs: DataFrame, side: DataFrame, rows: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str | T.StructType, max_bits: int = 1 << 30) -> DataFrame:
+    """rows(batch of docs, the batch's values from the side). side(doc_id, value), stored, one row an id; docs without one
+    have None. A Bloom filter over the side's ids tells which rows of docs to shuffle; the others are mapped where they
+    are."""
+    own, at = docs.columns, docs.columns.index("doc_id")
+    ids = side.select("doc_id")
+    held = docs.sparkSession.sparkContext.broadcast(seen(ids, lambda b: _id_hashes(b.column(0)), filter_bits(16 * ids.count(), max_bits)))
+    found = lambda batch: probably_twice(held.value, _id_hashes(batch.column(at)))
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            batch = whole.filter(pa.array(~found(whole)))
+            for lo in range(0, batch.num_rows, 1024):
+                yield rows(batch.slice(lo, 1024), [None] * min(1024, batch.num_rows - lo))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(found(batch)))
 
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                yield rows(pa.RecordBatch.from_arrays(batch.columns[: len(own)], names=own), batch.column(len(own)).to_pylist())
 
-def _with_drops(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    drops = drops.select(F.col("doc_id").alias("__drop_id"), F.col("keys").alias("__keys")).hint("shuffle_hash")
-    return docs.join(drops, docs["doc_id"].eqNullSafe(F.col("__drop_id")), "left")
+    key, value = unused(docs, "side_id"), unused(docs, "side_value")
+    wanted = docs.mapInArrow(chosen, docs.schema)
+    right = side.toDF(key, value)
+    joined = wanted.join(right, wanted["doc_id"].eqNullSafe(right[key]), "left").drop(right[key])
+    return docs.mapInArrow(alone, schema).unionByName(joined.mapInArrow(met, schema))
 
 
 def kept_text(text: bytes, keys: list[bytes] | None, min_chars: int) -> tuple[bytes, int, int]:
@@ -165,34 +212,28 @@ def kept_text(text: bytes, keys: list[bytes] | None, min_chars: int) -> tuple[by
     if not keys:
         return text, text.count(b"\n") + 1, 0
     gone, lines = set(keys), text.split(b"\n")
-    stay = [line for line, key in zip(lines, line_keys(text, min_chars), strict=True) if key is None or key not in gone]
+    stay = [line for line, key in zip(lines, line_keys(text, min_chars), strict=True) if key is None or _digest(key) not in gone]
     return b"\n".join(stay), len(lines), len(lines) - len(stay)
 
 
 def line_report(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Per row of docs(doc_id, text): n_lines, n_dropped and a digest of what stays."""
     own = docs.select("doc_id", "text")
-    joined = _with_drops(own, line_drops(own, min_chars, min_docs)).select("doc_id", "text", "__keys")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [kept_text(t, k, min_chars) for t, k in zip(byte_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_lines": pa.array([x[1] for x in done], pa.int64()), "n_dropped": pa.array([x[2] for x in done], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x[0]).hexdigest() for x in done], pa.string())})
+    def rows(batch: pa.RecordBatch, keys: list) -> pa.RecordBatch:
+        done = [kept_text(t, k, min_chars) for t, k in zip(byte_texts(batch.column(1)), keys, strict=True)]
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_lines": pa.array([x[1] for x in done], pa.int64()), "n_dropped": pa.array([x[2] for x in done], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x[0]).hexdigest() for x in done], pa.string())})
 
-    return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return map_with(own, line_drops(own, min_chars, min_docs), rows, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with the repeated lines gone from ``text``; a null text stays null; other columns stay as they are."""
-    joined = _with_drops(docs, line_drops(docs.select("doc_id", "text"), min_chars, min_docs))
-
     names, at = docs.columns, docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            stay = [t if t is None else kept_text(t, k, min_chars)[0] for t, k in zip(texts, batch.column(len(names)).to_pylist(), strict=True)]
-            columns = [pa.array(stay, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+    def rows(batch: pa.RecordBatch, keys: list) -> pa.RecordBatch:
+        texts = batch.column(at).cast(pa.binary()).to_pylist()
+        stay = [t if t is None else kept_text(t, k, min_chars)[0] for t, k in zip(texts, keys, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(stay, pa.binary()).cast(pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=names)
 
-    return joined.select(*[docs[f"`{c}`"] for c in names], "__keys").mapInArrow(run, docs.schema)
+    return map_with(docs, line_drops(docs.select("doc_id", "text"), min_chars, min_docs), rows, docs.schema)
