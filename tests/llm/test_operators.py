@@ -340,9 +340,16 @@ def test_short_benchmark_items(spark):
     assert {r.doc_id for r in decontam.drop_contaminated(df, bench).collect()} == {2, 4, 5}
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("fan_in", [64, 2])
+def test_warc(spark, fan_in, monkeypatch):
+    monkeypatch.setattr(warc, "EVERY", 2)
+    if fan_in == 2:  # a filter that takes every page for a revisit
+        monkeypatch.setattr(warc, "probably_twice", lambda packed, h: np.ones(len(h), bool))
     rows = [(i, f"http://h{i % 3}.org/p?{i % 5}", f"<p>é{i % 4}</p>" * (i % 7)) for i in range(40)] + [(50, None, None), (51, "http://x.y/", ""), (None, "http://a.b/", "<p>é1</p>"), (52, "bad://[", "z" * 100_000), (7, "http://h1.org/p?2", "")]
-    got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))).collect()
+    rows += [(1000 + i, "http://hot.org/", f"<b>{i % 50}</b>") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("p", F.lit(2)).repartition(9)
+    got = warc.archive_pages(pages, fan_in).collect()
+    assert len({r.key_range for r in got if r.url_key == "org,hot)/"}) > 1  # one URL's history in several ranges
     by: dict = {}
     for i, _, h in rows:
         by.setdefault(h or "", []).append(i)
