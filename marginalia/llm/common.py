@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,12 @@ def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values. For integers sorting is many times faster than np.unique, which hashes."""
+    a = np.sort(a)
+    return a if len(a) < 2 else a[np.concatenate(([True], a[1:] != a[:-1]))]
+
+
 def by_batch(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, arrow_schema: pa.Schema) -> DataFrame:
     """Map each Arrow batch to one batch of new columns; nothing is kept between batches."""
 

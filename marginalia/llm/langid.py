@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, remainder
+from .common import byte_texts, distinct, remainder
 
 DIRECT, HASHED = 0x2000, 0x1000
 ROWS = DIRECT + HASHED
@@ -63,7 +63,7 @@ class Space:
         out = np.zeros((len(texts), self.dims), np.float32)
         for lo in range(0, len(texts), BLOCK_DOCS):
             found = [np.unique(self.trigrams(t), return_counts=True) for t in texts[lo : lo + BLOCK_DOCS]]
-            codes = np.unique(np.concatenate([c for c, _ in found]))
+            codes = distinct(np.concatenate([c for c, _ in found]))
             for at in range(0, len(codes), BLOCK_TRIGRAMS):
                 own = codes[at : at + BLOCK_TRIGRAMS]
                 counts = np.zeros((len(found), len(own)), np.float32)

@@ -76,7 +76,7 @@ def _filters(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray],
             for part, chosen in (("once", keys), ("twice", keys[n > 1])):
                 if part not in parts_wanted:
                     continue
-                places = np.unique(bit_places(chosen, bits).ravel()).astype(np.int64)
+                places = np.sort(bit_places(chosen, bits).ravel()).astype(np.int64)
                 cuts = np.searchsorted(places, np.arange(0, bits + 1, SEGMENT_BITS))
                 for s in np.flatnonzero(np.diff(cuts)):
                     own = np.zeros(SEGMENT_BITS, np.uint8)

@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import distinct
+
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BASE = np.uint64(0x100000001B3)
@@ -202,7 +204,7 @@ class PieceEncoder:
             return out
         codes = a[rows] * len(self.v.pieces) + b[rows]
         slots = (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)
-        new = np.unique(codes[self.pairs[slots] != codes])
+        new = distinct(codes[self.pairs[slots] != codes])
         answers = self._compatible(new // len(self.v.pieces), new % len(self.v.pieces)) if len(new) else np.zeros(0, bool)
         out[rows] = self.pair_ok[slots]
         if len(new):

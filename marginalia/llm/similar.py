@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, stored
+from .common import byte_texts, distinct, dropped, stored, unused
 from .components import components
 from .simhash import fingerprint
 from .simhash import links as simhash_links
@@ -44,7 +44,7 @@ def shingles(text: bytes, words_per_shingle: int = 5) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     runs = [words[i:] for i in range(min(words_per_shingle, len(words)))]
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, 5) for s in map(b" ".join, zip(*runs, strict=False))], np.uint64))
+    return distinct(np.array([xxhash.xxh64_intdigest(s, 5) for s in map(b" ".join, zip(*runs, strict=False))], np.uint64))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:

@@ -294,9 +294,14 @@ def test_repeats(spark, docs, empty, monkeypatch):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: tuple(r[1:]) for r in repeats.repeat_report(d).collect()} == want
     plain = repeats.removed_ranges
-    monkeypatch.setattr(repeats, "removed_ranges", lambda x, size: plain(x, size, crowd=2))
+    monkeypatch.setattr(repeats, "removed_ranges", lambda x, size: plain(x, size, crowd=1))
+    monkeypatch.setattr(repeats, "PARTS", 2)
     assert {r.doc_id: tuple(r[1:]) for r in repeats.repeat_report(d).collect()} == want
     assert repeats.repeat_report(empty).count() == 0 and repeats.repeat_report(docs).count() == docs.count()
+    monkeypatch.setattr(repeats, "removed_ranges", plain)
+    assert repeats.repeat_report(d, size=300).where("n_removed > 0").count() > 0
+    with pytest.raises(ValueError):
+        repeats.repeat_report(d, size=20)
 
 
 def test_decontamination(spark, docs, empty):
