@@ -54,7 +54,7 @@ class Encoder:
     """The tokenizers library over the pieces of a text that it would cut apart anyway; what it gave for short pieces is
     kept, up to ``keep`` of them, since most pieces recur."""
 
-    def __init__(self, path: str, keep: int = 900_000, longest: int = 48):
+    def __init__(self, path: str, keep: int = 1_600_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -75,16 +75,16 @@ class Encoder:
         out: dict[str, bytes] = {}
         alone = [p for p in pieces if not (p[0] in _SPACES and p[-1] not in _SPACES)]
         if alone:
-            out |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True)}
+            out |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
         rest = [p for p in pieces if p[0] in _SPACES and p[-1] not in _SPACES]
         for lo in range(0, len(rest), run):
             own = rest[lo : lo + run]
-            ids = np.array(self.tokenizer.encode("".join(own), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum([len(p.encode()) for p in own])
             reached = np.cumsum(self.sizes[ids])
             cuts = np.searchsorted(reached, ends)
             if len(ids) == 0 or (reached[np.minimum(cuts, len(ids) - 1)] != ends).any():  # a token reaches over a cut
-                out |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(own, self.tokenizer.encode_batch(own, add_special_tokens=False), strict=True)}
+                out |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True)}
                 continue
             flat, at = ids.tobytes(), 0
             for p, c in zip(own, (4 * (cuts + 1)).tolist(), strict=True):
@@ -96,17 +96,16 @@ class Encoder:
         """The ids of each text as little-endian u32."""
         for lo in range(0, len(texts), rows):
             cut = [_PIECE.findall(t) if t else [] for t in texts[lo : lo + rows]]
-            new = set().union(*cut).difference(self.known)
-            if len(self.known) + len(new) > self.keep:
+            got = [list(map(self.known.get, pieces)) for pieces in cut]
+            new = {p for pieces, ids in zip(cut, got, strict=True) if None in ids for p, x in zip(pieces, ids, strict=True) if x is None}
+            made = self._encode(list(new))
+            for pieces, ids in zip(cut, got, strict=True):
+                if None in ids:
+                    ids = [made[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
+                yield b"".join(ids)
+            if len(self.known) + len(made) > self.keep:
                 self.known.clear()
-                new = set().union(*cut)
-            self.known |= self._encode(list(new))
-            get = self.known.__getitem__
-            for pieces in cut:
-                yield b"".join(map(get, pieces))
-            for p in new:
-                if len(p) > self.longest:
-                    del self.known[p]
+            self.known.update((p, x) for p, x in made.items() if len(p) <= self.longest)
 
 
 _ENCODERS: dict[str, Encoder] = {}
