@@ -119,8 +119,8 @@ def fit_references(docs: DataFrame, common: int = 64, flush: int = 300_000, buck
                     held = 0
         yield out()
 
-    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each language the sums of what stands for no word, and the largest words."""
+    def largest(batches: Iterator[pa.RecordBatch], add_up: bool = False) -> Iterator[pa.RecordBatch]:
+        """Of each language the sums of what stands for no word, and the largest words. add_up: and the sum of all words."""
         best: dict[str, list] = defaultdict(list)
         other: Counter = Counter()
 
@@ -132,6 +132,8 @@ def fit_references(docs: DataFrame, common: int = 64, flush: int = 300_000, buck
                 if word[:1] == b"\x00":
                     other[lang, word] += n
                 elif word:
+                    if add_up:
+                        other[lang, b"\x00words"] += n
                     best[lang].append((word, n))
                     if len(best[lang]) > 50 * common:
                         cut(lang)
@@ -140,22 +142,12 @@ def fit_references(docs: DataFrame, common: int = 64, flush: int = 300_000, buck
         rows = [(*k, n) for k, n in other.items()] + [(lang, w, n) for lang, x in best.items() for w, n in x]
         yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "word": pa.array([r[1] for r in rows], pa.binary()), "n": pa.array([r[2] for r in rows], pa.int64())})
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds to each batch the sum of its words, a language at a time."""
-        for batch in batches:
-            total: Counter = Counter()
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if word and word[:1] != b"\x00":
-                    total[lang] += n
-            yield batch
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "word": pa.array([b"\x00words"] * len(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
-
     schema = "lang string, word binary, n long"
     sums = docs.select("lang", "text").mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = sums.mapInArrow(totals, schema).mapInArrow(largest, schema).repartition(parts, "lang", F.pmod(F.xxhash64("word"), F.lit(buckets)))
+    few = sums.mapInArrow(lambda batches: largest(batches, True), schema).repartition(parts, "lang", F.pmod(F.xxhash64("word"), F.lit(buckets)))
     found: dict[str, Counter] = defaultdict(Counter)
-    for r in few.mapInArrow(largest, schema).toLocalIterator():
+    for r in few.mapInArrow(largest, schema).collect():
         found[r.lang][bytes(r.word)] += r.n
     langs = sorted(found)
     top = [sorted(((w, n) for w, n in found[x].items() if w[:1] != b"\x00"), key=lambda t: (-t[1], t[0]))[:common] for x in langs]
@@ -256,7 +248,7 @@ def score_quality(
             for j, w in enumerate(words):
                 common.setdefault(w, []).append(i * width + j)
         step = max(1, (1 << 21) // max(1, refs.word_shares.size))  # texts whose histograms are held at once
-        for batch in batches:
+        for batch in (whole.slice(lo, 2048) for whole in batches for lo in range(0, whole.num_rows, 2048)):
             texts = byte_texts(batch.column(1))
             slots: list[list[int]] = []
             seen = WordIds(common, slots)
