@@ -245,7 +245,7 @@ class PieceEncoder:
             else:
                 score = np.full(ids.shape, -np.inf)
                 score[r, c] = best[r, start] + np.where(found >= 0, v.scores[np.maximum(found, 0)], low)
-                pick = score.argmax(1)
+                pick = score.shape[1] - 1 - score[:, ::-1].argmax(1)  # of equal sums the longest last piece, as the library
                 best[:, end], back[:, end] = score[rows, pick], pick + 1
             last[:, end] = ids[rows, back[:, end] - 1]
         out = np.zeros((n, size), np.int32)

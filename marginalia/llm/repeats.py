@@ -224,16 +224,16 @@ def removed_ranges(docs: DataFrame, size: int = 100, crowd: int = 2048, max_bits
 
     # anchors with several contexts: their first occurrences are fetched from the texts again, through a Bloom filter; a
     # false hit fetches a later occurrence, whose strings all are repeats, as they should be
-    several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select(F.col("anchor").alias("a"), "contexts")
-    several = stored(first.join(several, F.col("anchor") == F.col("a")).select("anchor", "digest", "first_doc", "contexts"), "several", release=True)
-    wanted = spark.sparkContext.broadcast(seen(several.select("anchor", "digest", "first_doc"), lambda b: _place_hash(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(3))), filter_bits(16 * several.count(), max_bits)))
+    counts = stored(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select(F.col("anchor").alias("a"), "contexts"), "anchors")
+    # both sides are read from files, so adaptive execution can split the anchors of crowds
+    several = stored(first.join(counts, F.col("anchor") == F.col("a")).select("anchor", "digest", "first_doc"), "several", release=True)
+    wanted = spark.sparkContext.broadcast(seen(several, lambda b: _place_hash(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(3))), filter_bits(16 * several.count(), max_bits)))
     # filters of the anchors with more than crowd, 16 crowd, 256 crowd ... contexts, as far as there are any: each parts a
     # group's contexts 16 times. A false hit parts a smaller group; the result is the same
-    most, crowds = several.agg(F.max("contexts")).first()[0] or 0, []
+    most, crowds = counts.agg(F.max("contexts")).first()[0] or 0, []
     while most > crowd * PARTS ** len(crowds):
-        own_crowd = stored(several.where(F.col("contexts") > crowd * PARTS ** len(crowds)).select("anchor").distinct(), "crowds")
+        own_crowd = counts.where(F.col("contexts") > crowd * PARTS ** len(crowds)).select("a")
         crowds.append(spark.sparkContext.broadcast(seen(own_crowd, lambda b: _anchor_hash(b.column(0).to_numpy(zero_copy_only=False)), filter_bits(16 * own_crowd.count(), max_bits))))
-        dropped(own_crowd)
 
     def part_of(anchor: np.ndarray, digest: np.ndarray) -> np.ndarray:
         """-1, or a context's part of its anchor's crowd."""
@@ -290,7 +290,7 @@ def removed_ranges(docs: DataFrame, size: int = 100, crowd: int = 2048, max_bits
         apart = strings.join(least, (strings["a"] == F.col("x")) & (strings["b"] == F.col("y"))).where(~F.struct("doc_id", "start").eqNullSafe(F.col("f")))
         ranges = ranges.unionByName(apart.select("doc_id", "start", "end"))
     out = stored(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "removed", release=True)
-    dropped(found, first, several, told)
+    dropped(found, first, counts, several, told)
     return out
 
 

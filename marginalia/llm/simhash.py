@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, stored
+from .common import byte_texts, dropped, stored, unused
 from .components import components
 
 
@@ -156,6 +156,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     # equal fingerprints of a hot group meet one row here; adaptive execution may split that side
     final = stored(named.join(ids, "root").select(F.col("fp").alias("node"), "component_id"), "classes")
+    dropped(nodes)
     return own.join(final, own["fp"] == final["node"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -163,5 +164,6 @@ def keep_one(docs: DataFrame, **how: int) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest id. Rows with a null id or with an id that
     occurs more than once stay as they are where they belong to the group's smallest id."""
     found = near_duplicates(docs, **how)
-    stay = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__stay"]), "left_semi")
+    key = unused(docs, "stays")
+    stay = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay[key]), "left_semi")

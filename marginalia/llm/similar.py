@@ -239,5 +239,7 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 5, least: tuple[int, int]
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     final = stored(named.join(ids, "root").select("node", "component_id"), "classes")
     found = own.select("doc_id", "node").join(final, "node")
-    stay = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__stay"]), "left_semi")
+    key = unused(docs, "stays")
+    stay = stored(found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct(), "stay")
+    dropped(own, nodes, met, members, pairs, leads, first, large, roots, final)
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay[key]), "left_semi")

@@ -533,3 +533,42 @@ def test_few_labels_still_score(spark):
     got = {r.doc_id: r for r in toxicity.score_toxicity(d, model).collect()}
     assert model.trees is None and all(got[i].predicted == (i % 8 == 0) for i in range(40)) and got[90].score == got[91].score < 0.5
     assert toxicity.score_toxicity(d.limit(0), model).count() == 0
+
+
+def test_unigram_equals_the_library():
+    """Scores are multiples of 1/64, so the library's single-precision sums are exact; ties occur."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    m.trainer_spec.model_type = 1
+    rng = random.Random(12)
+    for p in m.pieces:
+        if p.type == 1:
+            p.score = -rng.randint(2 * 64, 9 * 64) / 64
+    raw = m.SerializeToString()
+    lib, enc = sentencepiece.SentencePieceProcessor(model_proto=raw), pieces.PieceEncoder(pieces.Vocabulary.load(raw))
+    alphabet = list("the  an ing éß日本🙂\n\tabcxyz019.-")
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [text_of(rng, 60) for _ in range(40)]
+    for t, ids in zip(texts, enc.encode(texts, rows=16), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t) and enc.decode(ids).decode() == t
+
+
+def test_empty_tables(spark, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert pieces.round_trip(empty, path).count() == pieces.encode_documents(empty, path).count() == 0
+    assert simhash.near_duplicates(empty).count() == simhash.keep_one(empty).count() == similar.keep_one(empty).count() == 0
+    assert lines.dedup_lines(empty).count() == langid.keep_identified(empty).count() == 0
+
+
+def test_a_session_of_many_machines_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from marginalia.llm import common
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://x:7077"):
+        session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(RuntimeError):
+            common.shared_folder(session, "x")
