@@ -39,12 +39,16 @@ class Space:
         random = np.random.Generator(np.random.PCG64(seed))
         base = (random.integers(0, 2, (ROWS, dims), dtype=np.int8) * 2 - 1).astype(np.int8)
         order = random.permutation(dims)
-        self.places = [base, base[:, order], base[:, order][:, order]]
+        self.base, self.orders = base, [np.arange(dims), order, order[order]]
         letter = np.zeros(0x110000, bool)
         # letters of all planes; surrogates never occur in texts
         letter[:] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
         self.letter = letter
 
+    def place(self, rows: np.ndarray, k: int) -> np.ndarray:
+        """The vectors of letters at the k-th place before the last: permuted k times."""
+        return self.base[rows][:, self.orders[k]]
+
     def trigrams(self, text: bytes) -> np.ndarray:
         """A code for each trigram of letters and gaps; empty without a letter."""
         points = np.frombuffer(text.decode().lower().encode("utf-32-le"), np.uint32)
@@ -71,7 +75,7 @@ class Space:
                     inside = slice(*np.searchsorted(c, (own[0], own[-1] + 1)))
                     counts[i, np.searchsorted(own, c[inside])] = n[inside]
                 a, b, c = own // (ROWS * ROWS), own // ROWS % ROWS, own % ROWS
-                bound = self.places[2][a] * self.places[1][b] * self.places[0][c]
+                bound = self.place(a, 2) * self.place(b, 1) * self.place(c, 0)
                 out[lo : lo + len(found)] += counts @ bound.astype(np.float32)
         return out
 

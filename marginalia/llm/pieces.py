@@ -155,7 +155,7 @@ def merge(word: str, lookup: dict[str, int], score: list[float], banned: int = -
 
 
 class PieceEncoder:
-    def __init__(self, vocabulary: Vocabulary, keep: int = 500_000, longest: int = 48, cells: int = 1 << 20):
+    def __init__(self, vocabulary: Vocabulary, keep: int = 400_000, longest: int = 48, cells: int = 1 << 20):
         self.v, self.keep, self.longest, self.cells = vocabulary, keep, longest, cells
         self.known: dict[str, bytes] = {}
         self.lookup = {p: i for i, (p, t) in enumerate(zip(vocabulary.pieces, vocabulary.types, strict=True)) if t == NORMAL}
@@ -287,7 +287,7 @@ class PieceEncoder:
                     out[w] = self._with_bytes(w, ids[i, f:].tolist()) if odd else flat[4 * (i * size + f) : 4 * (i + 1) * size]
         return out
 
-    def encode(self, texts: list[str | None], rows: int = 1024) -> Iterator[bytes]:
+    def encode(self, texts: list[str | None], rows: int = 256) -> Iterator[bytes]:
         """The ids of each text as little-endian u32."""
         for lo in range(0, len(texts), rows):
             cut = [_WORD.findall((MARK if self.v.dummy_prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts[lo : lo + rows]]
@@ -329,8 +329,8 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):  # ids take more room than texts
-                batch = whole.slice(lo, 1024)
+            for lo in range(0, whole.num_rows, 256):  # ids take more room than texts
+                batch = whole.slice(lo, 256)
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.encode(batch.column(1).to_pylist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
@@ -356,7 +356,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value)
-        for batch in batches:
+        for batch in (whole.slice(lo, 1024) for whole in batches for lo in range(0, whole.num_rows, 1024)):
             texts, rows = batch.column(1).to_pylist(), []
             for text, ids in zip(texts, encoder.encode(texts), strict=True):
                 back = encoder.decode(ids)

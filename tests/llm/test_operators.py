@@ -129,7 +129,7 @@ def test_language_binding():
     want = np.zeros(64)
     for t in s.trigrams(b"abc"):
         a, b, d = t // langid.ROWS**2, t // langid.ROWS % langid.ROWS, t % langid.ROWS
-        want += s.places[2][a].astype(int) * s.places[1][b] * s.places[0][d]
+        want += s.base[a][s.orders[2]].astype(int) * s.base[b][s.orders[1]] * s.base[d]
     assert (own == want).all()
 
 
