@@ -15,11 +15,13 @@ from ..sources.document import FEATURE_COLUMNS
 from .spec import Lens, LensError, Pattern, Replacement, Rule, strip_version
 
 
+def _nested(data: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(data), "$.attrs", "map<string,variant>")
+
+
 def _variant(key: str) -> Column:
     """Nested under attrs first, else flat."""
-    m = jsonfn.as_map(F.col("data"))
-    nested = F.variant_get(F.try_parse_json("data"), "$.attrs", "map<string,variant>")
-    return F.coalesce(F.element_at(nested, F.lit(key)), F.element_at(m, F.lit(key)))
+    return F.coalesce(F.element_at(_nested(F.col("data")), F.lit(key)), F.element_at(jsonfn.as_map(F.col("data")), F.lit(key)))
 
 
 def _kind(v: Column) -> Column:
@@ -44,6 +46,14 @@ def matches(p: Pattern) -> Column:
         test = kind == whole
     else:
         test = ((kind == whole) & F.coalesce(F.col("name") == p.name, F.lit(False))) | (kind == f"{whole}#{p.name}")
+    for q in (p, *p.also):
+        test &= _tests(q)
+    return F.coalesce(test, F.lit(False))
+
+
+def _tests(p: Pattern) -> Column:
+    """The attribute tests alone."""
+    test = F.lit(True)
     for k, x in p.attrs.items():
         test &= jsonfn.same_typed(_variant(k), x)
     for k, xs in p.any.items():
@@ -52,7 +62,7 @@ def matches(p: Pattern) -> Column:
         v = _variant(k)
         scalar = ~_kind(v).startswith("ARRAY") & F.lit(len(xs) == 1)
         test &= F.coalesce(((_kind(v).startswith("ARRAY")) | scalar) & (F.size(F.array_except(_texts(xs), _members(v))) == 0), F.lit(False))
-    return F.coalesce(test, F.lit(False))
+    return test
 
 
 def _number(x: Column) -> Column:
@@ -109,14 +119,14 @@ def _attrs(m: Column, r: Replacement, flat: bool) -> Column:
     return m
 
 
-def _new_name(r: Replacement) -> Column:
+def _new_name(r: Replacement, name: Column, nested: Column, flat: Column) -> Column:
     if r.template is None:
-        return F.lit(r.name) if r.name is not None else F.col("name")
+        return F.lit(r.name) if r.name is not None else name
     parts, at = [], 0
     for m in re.finditer(r"\{([^{}]+)\}", r.template):
         parts.append(F.lit(r.template[at : m.start()]))
         default = r.add.get(m[1])
-        v = _variant(m[1])
+        v = F.coalesce(F.element_at(nested, F.lit(m[1])), F.element_at(flat, F.lit(m[1])))
         told = F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
         parts.append(F.coalesce(told, F.lit(m[0] if default is None else str(default))))
         at = m.end()
@@ -127,8 +137,10 @@ def _json_text(x: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
 
 
-def _parents(lens: Lens) -> tuple[dict[str, str], list[str]]:
-    """Names that literal rules rename or drop, for everyone's parents."""
+def parent_steps(lens: Lens) -> tuple:
+    """What happens to everyone's parents: (names that literal rules rename, names they drop), a lens at a time."""
+    if lens.parent_steps is not None:
+        return lens.parent_steps
     renamed, dropped = {}, []
     for r in lens.rules:
         if r.match is None or r.match.name is None or r.join or r.sql:
@@ -137,7 +149,17 @@ def _parents(lens: Lens) -> tuple[dict[str, str], list[str]]:
             dropped.append(r.match.name)
         elif r.replace.template is None and r.replace.name not in (None, r.match.name):
             renamed.setdefault(r.match.name, r.replace.name)
-    return renamed, [d for d in dropped if d not in renamed]
+    dropped = [d for d in dropped if d not in renamed]
+    return ((renamed, dropped),) if renamed or dropped else ()
+
+
+def _changed_parents(parents: Column, renamed: dict[str, str], gone: list[str]) -> Column:
+    if gone:
+        parents = F.filter(parents, lambda x: ~x.isin(*gone))
+    if renamed:
+        to = F.create_map(*[x for kv in renamed.items() for x in map(F.lit, kv)])
+        parents = F.transform(parents, lambda x: F.coalesce(F.element_at(to, x), x))
+    return parents
 
 
 def plain_rules(lens: Lens) -> list[Rule]:
@@ -155,7 +177,7 @@ def matched_rule(lens: Lens) -> Column:
     chain = None
     for i, r in enumerate(plain_rules(lens)):
         p = r.match
-        if p.attrs or p.any or p.all:
+        if p.tests_attrs:
             chain = F.when(matches(p), i) if chain is None else chain.when(matches(p), i)
         else:
             exact.setdefault(strip_version(p.type_id) + ("" if p.name is None else f"#{p.name}"), i)
@@ -178,34 +200,48 @@ def apply_lens(features: DataFrame, lens: Lens) -> DataFrame:
         f = f.where(F.col("__rule").isNull() | ~F.col("__rule").isin(*dropped))
     if lens.passthrough == "drop":
         f = f.where(F.col("__rule").isNotNull())
-    type_id, name, data = F.col("type_id"), F.col("name"), F.col("data")
+    type_id, name = F.col("type_id"), F.col("name")
     by_rule = lambda m: F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col("__rule"))
+    last = {i: rules[i].replace.steps[-1] for i in kept}
     if kept:
-        type_id = F.coalesce(by_rule({i: rules[i].replace.type_id for i in kept}), type_id)
-    if named := {i: rules[i].replace.name for i in kept if rules[i].replace.name is not None}:
+        type_id = F.coalesce(by_rule({i: r.type_id for i, r in last.items()}), type_id)
+    literal = {i: [s.name for s in rules[i].replace.steps if s.name is not None] for i in kept if all(s.template is None for s in rules[i].replace.steps)}
+    if named := {i: names[-1] for i, names in literal.items() if names}:
         name = F.coalesce(by_rule(named), name)
-    for i in kept:
-        r, on = rules[i].replace, F.col("__rule") == i
-        if r.template is not None:
-            name = F.when(on, _new_name(r)).otherwise(name)
-        if r.touches_attrs:
-            m = jsonfn.as_map(F.col("data"))
-            nested = F.variant_get(F.try_parse_json("data"), "$.attrs", "map<string,variant>")
-            inner = jsonfn.with_values(m, {"attrs": F.to_variant_object(_attrs(nested, r, False))})
-            data = F.when(on, F.when(nested.isNotNull(), jsonfn.as_json(inner)).otherwise(jsonfn.as_json(_attrs(m, r, True)))).otherwise(data)
-    f = f.select("doc_id", "facet_ord", "feat_ord", "byte_start", "byte_end", type_id.alias("type_id"), name.alias("name"), data.alias("data"), F.col("name").alias("__old"))
-    changed = ~F.col("name").eqNullSafe(F.col("__old"))
-    f = f.withColumn("data", F.when(changed & F.col("name").isNotNull(), jsonfn.as_json(jsonfn.with_values(jsonfn.as_map(F.col("data")), {"name": F.parse_json(_json_text(F.col("name")))}))).otherwise(F.col("data")))
-    renamed, gone = _parents(lens)
-    if renamed or gone:
-        p = F.from_json(F.get_json_object("data", "$.parents"), "array<string>")
-        if gone:
-            p = F.filter(p, lambda x: ~x.isin(*gone))
-        if renamed:
-            names = F.create_map(*[x for a, b in renamed.items() for x in (F.lit(a), F.lit(b))])
-            p = F.transform(p, lambda x: F.coalesce(F.element_at(names, x), x))
-        has = F.size(F.coalesce(F.from_json(F.get_json_object("data", "$.parents"), "array<string>"), F.array().cast("array<string>"))) > 0
-        f = f.withColumn("data", F.when(has, jsonfn.as_json(jsonfn.with_values(jsonfn.as_map(F.col("data")), {"parents": F.parse_json(F.to_json(p))}))).otherwise(F.col("data")))
+    # data is parsed once, rewritten as maps, and written once, where it changes
+    rewritten = [i for i in kept if rules[i].replace.touches_attrs]
+    templates = [i for i in kept if i not in literal]
+    steps = parent_steps(lens)
+    if rewritten or templates or named or steps:
+        f = f.withColumn("__m", jsonfn.as_map(F.col("data"))).withColumn("__a", _nested(F.col("data")))
+    m, a = F.col("__m"), F.col("__a")
+    for i in sorted({*rewritten, *templates}):
+        on, flat, nested, own = F.col("__rule") == i, F.col("__m"), F.col("__a"), F.col("name")
+        for r in rules[i].replace.steps:
+            own = _new_name(r, own, nested, flat)
+            if r.touches_attrs:
+                one = Replacement("", None, None, r.rename, r.value_ops, r.add, r.drop, r.keep)
+                flat = F.when(F.col("__a").isNull(), _attrs(flat, one, True)).otherwise(flat)
+                nested = _attrs(nested, one, False)
+        if i in templates:
+            name = F.when(on, own).otherwise(name)
+        if i in rewritten:
+            m, a = F.when(on, flat).otherwise(m), F.when(on, nested).otherwise(a)
+    columns = ["doc_id", "facet_ord", "feat_ord", "byte_start", "byte_end"]
+    f = f.select(*columns, type_id.alias("type_id"), name.alias("name"), F.col("name").alias("__old"), "data", "__rule", *([m.alias("__m"), a.alias("__a")] if "__m" in f.columns else []))
+    if "__m" in f.columns:
+        void = F.lit(None).cast("variant")
+        touched = F.coalesce(F.col("__rule").isin(*rewritten), F.lit(False)) if rewritten else F.lit(False)
+        renamed = ~F.col("name").eqNullSafe(F.col("__old")) & F.col("name").isNotNull()
+        parents = F.try_variant_get(F.element_at("__m", F.lit("parents")), "$", "array<string>")
+        new = parents
+        for names, gone in steps:
+            new = _changed_parents(new, names, gone)
+        moved = F.coalesce(F.size(parents) > 0, F.lit(False)) if steps else F.lit(False)
+        values = [F.when(touched & F.col("__a").isNotNull(), F.to_variant_object("__a")).otherwise(void), F.when(renamed, F.parse_json(_json_text(F.col("name")))).otherwise(void), F.when(moved, F.parse_json(F.to_json(new))).otherwise(void)]
+        update = F.map_filter(F.map_from_arrays(F.array(F.lit("attrs"), F.lit("name"), F.lit("parents")), F.array(*values)), lambda k, v: v.isNotNull())
+        whole = F.map_concat(F.map_filter("__m", lambda k, v: ~F.map_contains_key(F.col("__u"), k)), F.col("__u"))
+        f = f.withColumn("__u", update).withColumn("data", F.when(touched | renamed | moved, jsonfn.as_json(whole)).otherwise(F.col("data")))
     f = f.select(FEATURE_COLUMNS)
     for r in lens.rules:
         if r.join is not None:

@@ -23,6 +23,11 @@ class Pattern:
     attrs: dict = field(default_factory=dict)
     any: dict = field(default_factory=dict)
     all: dict = field(default_factory=dict)
+    also: tuple[Pattern, ...] = ()  # further attribute tests, from composition
+
+    @property
+    def tests_attrs(self) -> bool:
+        return bool(self.attrs or self.any or self.all or self.also)
 
 
 @dataclass(frozen=True)
@@ -35,10 +40,15 @@ class Replacement:
     add: dict = field(default_factory=dict)
     drop: tuple = ()
     keep: tuple | None = None
+    then: Replacement | None = None  # what composition applies to the result
+
+    @property
+    def steps(self) -> list[Replacement]:
+        return [self, *(self.then.steps if self.then else [])]
 
     @property
     def touches_attrs(self) -> bool:
-        return bool(self.rename or self.value_ops or self.add or self.drop or self.keep is not None)
+        return any(s.rename or s.value_ops or s.add or s.drop or s.keep is not None for s in self.steps)
 
 
 @dataclass(frozen=True)
@@ -59,6 +69,7 @@ class Lens:
     passthrough: str = "keep"
     invertible: bool = True
     user_function: str | None = None
+    parent_steps: tuple | None = None  # of a composed lens: (names renamed, names dropped) in everyone's parents, in turn
 
     @classmethod
     def from_json(cls, spec: str | dict) -> Lens:
@@ -71,6 +82,8 @@ class Lens:
             raise LensError(f"not a lens spec: {e!r}") from e
 
     def to_json(self) -> dict:
+        if self.parent_steps is not None:
+            raise LensError("a composed lens has no JSON form; write its parts")
         out: dict = {"$type": SPEC_TYPE, "id": self.id, "source": self.source, "target": self.target, "rules": [_rule_json(r, self) for r in self.rules], "passthrough": self.passthrough}
         if not self.invertible:
             out["invertible"] = False

@@ -178,3 +178,90 @@ def test_stream_equals_batch(spark, tmp_path):
     last = spark.table("patched").orderBy(F.desc("seq")).first()
     assert (last.text, json.loads(last.facets)) == (batch.text, json.loads(batch.facets))
     assert batch.text == "￼llo"
+
+
+def random_lens(rng, source, target):
+    names, keys = ["p", "q", "r"], ["k", "l", "m"]
+    value = lambda: rng.choice([1, 2, "x", "y", True])
+    rules = []
+    for _ in range(rng.randint(1, 4)):
+        match = {"name": rng.choice(names)} if rng.random() < 0.8 else {}
+        if rng.random() < 0.4:
+            match["matchAttrs"] = {rng.choice(keys): value()}
+        if rng.random() < 0.3:
+            match[rng.choice(["matchAttrsAny", "matchAttrsAll"])] = {rng.choice(keys): [value() for _ in range(rng.randint(1, 2))]}
+        replace = {}
+        if rng.random() < 0.7:
+            replace["name"] = rng.choice(names)
+        if rng.random() < 0.4:
+            a, b = rng.sample(keys, 2)
+            replace["renameAttrs"] = {a: b}
+        if rng.random() < 0.3:
+            replace["addAttrs"] = {rng.choice(keys): value()}
+        if rng.random() < 0.3:
+            replace["dropAttrs"] = [rng.choice(keys)]
+        if rng.random() < 0.2:
+            replace["keepAttrs"] = rng.sample(keys, 2)
+        if rng.random() < 0.3:
+            replace["mapAttrValue"] = {rng.choice(keys): rng.choice([{"op": "add", "value": 1}, {"op": "negate"}, {"op": "prefix", "value": "x"}])}
+        rules.append({"match": match, "replace": None if rng.random() < 0.15 else replace})
+    return lens(rules, source, target, passthrough=rng.choice(["keep", "drop"]))
+
+
+def random_features(rng, n):
+    out = []
+    for i in range(n):
+        attrs = {k: rng.choice([1, 2, 3, "x", "y", "xy", True, False, ["x", 1], [2, "y"]]) for k in rng.sample(["k", "l", "m"], rng.randint(0, 3))}
+        name = rng.choice(["p", "q", "r", None])
+        fields = ({"name": name} if name else {}) | (attrs if i % 2 else {"attrs": attrs}) | ({"parents": rng.sample(["p", "q", "z"], 2)} if i % 3 == 0 else {})
+        out.append((rng.choice([NS, NS, "b.facet", "other"]), name, fields))
+    return out
+
+
+def test_composition_is_application_in_turn():
+    import random
+
+    from marginalia.lens.interpret import apply_to_feature
+
+    rng, composed, changed = random.Random(5), 0, 0
+    for _ in range(600):
+        a, b = random_lens(rng, NS, "b.facet"), random_lens(rng, "b.facet", "c.facet")
+        try:
+            both = compose(a, b)
+        except LensError:
+            continue
+        composed += 1
+        for type_id, name, fields in random_features(rng, 25):
+            once = apply_to_feature(a, type_id, name, fields)
+            want = once and apply_to_feature(b, *once)
+            assert apply_to_feature(both, type_id, name, fields) == want, (a, b, type_id, name, fields)
+            changed += want is not None and want[0] == "c.facet"
+    assert composed > 300 and changed > 1000
+
+
+def test_compiled_lenses_equal_the_plain_form(spark):
+    import random
+
+    from marginalia.lens.interpret import apply_to_feature
+
+    rng = random.Random(6)
+    rows = random_features(rng, 120)
+    df = spark.createDataFrame([(1, i, 0, i, i + 1, t, n, json.dumps(x)) for i, (t, n, x) in enumerate(rows)], D.FEATURES)
+    lenses = [random_lens(rng, NS, "b.facet") for _ in range(6)]
+    lenses.append(lens([{"match": {"name": "p"}, "replace": {"name": {"template": "t-{k}-{zz}"}}}]))
+    for a in list(lenses[:6]):
+        try:
+            lenses.append(compose(a, random_lens(rng, "b.facet", "c.facet")))
+        except LensError:
+            pass
+    for x in lenses:
+        want = {i: y for i, (t, n, fields) in enumerate(rows) if (y := apply_to_feature(x, t, n, fields)) is not None}
+        got = {r.facet_ord: (r.type_id, r.name, json.loads(r.data)) for r in apply_lens(df, x).collect()}
+        assert got == want, x
+
+
+def test_a_second_lens_sees_what_the_first_made(spark):
+    f = features(spark, [(1, 0, 0, 1, "p", {"attrs": {"y": 1}}), (1, 1, 1, 2, "p", {"attrs": {"y": 2}})])
+    a = lens([{"match": {"name": "p"}, "replace": {"renameAttrs": {"y": "x"}}}])
+    b = lens([{"match": {"name": "p", "matchAttrsAny": {"x": [1]}}, "replace": {"name": "one"}}], "b.facet", "c.facet")
+    assert sorted((r.type_id, r.name) for r in apply_lens(f, compose(a, b)).collect()) == [("b.facet", "p"), ("c.facet", "one")]
