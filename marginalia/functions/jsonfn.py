@@ -67,3 +67,8 @@ def same_typed(value: Column, expected: object) -> Column:
     import json
 
     return F.coalesce((F.to_json(value) == F.lit(json.dumps(expected, separators=(",", ":"), sort_keys=True, ensure_ascii=False))), F.lit(False))
+
+
+def json_object(**fields: Column) -> Column:
+    """A JSON object of columns; nulls are written (SQL: json_object)."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"}) if fields else F.lit("{}")

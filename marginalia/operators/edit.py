@@ -34,10 +34,17 @@ def _facet_flags(features: DataFrame, lexicon: DataFrame | None) -> DataFrame:
     return features.select(FEATURE_COLUMNS).join(flags, ["doc_id", "facet_ord"])
 
 
+def one_each(edits: DataFrame, columns: list[str]) -> DataFrame:
+    """edits(doc_id, columns as __columns): raises for a document with two; streaming.edits.apply_mutations takes many."""
+    many = F.raise_error(F.lit("two edits of one document"))
+    own = edits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in columns])
+    return own.select("doc_id", *[F.when(F.col("__n") > 1, many.cast(edits.schema[c].dataType)).otherwise(F.col(c)).alias(f"__{c}") for c in columns])
+
+
 def insert_text(docs: DataFrame, features: DataFrame, edits: DataFrame, lexicon: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """edits(doc_id, pos, ins): one insertion a document. Out of range or within a character raises; an empty one or a
+    """edits(doc_id, pos, ins): one insertion a document, two raise. Out of range or within a character raises; an empty one or a
     null position changes nothing. Text at a range's edge joins it only where the range expands there."""
-    e = edits.select("doc_id", F.col("pos").alias("__pos"), F.coalesce("ins", F.lit("")).alias("__ins"))
+    e = one_each(edits, ["pos", "ins"]).withColumn("__ins", F.coalesce("__ins", F.lit("")))
     d = docs.join(e, "doc_id", "left")
     raw = F.encode("text", "UTF-8")
     spliced = F.decode(F.concat(F.substring(raw, F.lit(1), F.col("__pos")), F.encode("__ins", "UTF-8"), F.substring(raw, F.col("__pos") + 1, F.octet_length("text"))), "UTF-8")
@@ -59,9 +66,9 @@ def clip(s: Column, e: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
 
 
 def delete_text(docs: DataFrame, features: DataFrame, edits: DataFrame, keep_empty: bool = False) -> tuple[DataFrame, DataFrame]:
-    """edits(doc_id, lo, hi): one deletion a document, nothing unless 0 <= lo < hi <= bytes. Ranges that become empty go
+    """edits(doc_id, lo, hi): one deletion a document, two raise; nothing unless 0 <= lo < hi <= bytes. Ranges that become empty go
     (or stay with zero width, as annotation spans do)."""
-    e = edits.select("doc_id", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+    e = one_each(edits, ["lo", "hi"])
     d = docs.join(e, "doc_id", "left")
     n = F.octet_length("text")
     live = F.coalesce((F.col("__lo") >= 0) & (F.col("__lo") < F.col("__hi")) & (F.col("__hi") <= n), F.lit(False))

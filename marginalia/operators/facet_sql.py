@@ -7,6 +7,7 @@ Only the shell of a statement is parsed here; expressions go to Spark's parser,
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,30 @@ def _word_outside(text: str, word: str) -> int:
     return -1
 
 
+_QUOTED = re.compile(r"""('(?:\\.|''|[^'\\])*'|"(?:\\.|[^"\\])*"|`[^`]*`)""")
+
+
+def replace_outside(text: str, pattern: str, new: str) -> str:
+    """Replace a pattern outside quotes."""
+    return "".join(part if i % 2 else re.sub(pattern, new, part, flags=re.I) for i, part in enumerate(_QUOTED.split(text)))
+
+
+def _json_objects(text: str) -> str:
+    """json_object(key, value, ...) in Spark's functions."""
+    while True:
+        plain = "".join(" " * len(part) if i % 2 else part for i, part in enumerate(_QUOTED.split(text)))
+        found = list(re.finditer(r"\bjson_object\s*\(", plain, re.I))
+        if not found:
+            return text
+        start, depth, end = found[-1], 1, found[-1].end()  # the last holds no other
+        while depth and end < len(plain):
+            depth += {"(": 1, ")": -1}.get(plain[end], 0)
+            end += 1
+        inner = text[start.end() : end - 1].strip()
+        made = f"to_json(named_struct({inner}), map('ignoreNullFields', 'false'))" if inner else "'{}'"
+        text = text[: start.start()] + made + text[end:]
+
+
 def _sync_name(f: DataFrame, changed_name: bool, changed_data: bool) -> DataFrame:
     """``name`` is what counts on write: data.name follows it; where only data was written, name follows data."""
     if changed_name:
@@ -79,7 +104,7 @@ def apply_facet_sql(features: DataFrame, sql: str, docs: DataFrame | None = None
     for statement in (s.strip() for s in split_outside(sql, ";")):
         if not statement:
             continue
-        body = re.sub(r"\btext_at\s*\(", "text_at(doc_text, ", statement, flags=re.I) if docs is not None else statement
+        body = _json_objects(replace_outside(statement, r"\btext_at\s*\(", "text_at(doc_text, ") if docs is not None else statement)
         head = body.split(None, 1)[0].upper()
         if head == "SELECT":
             selects.append(_select(spark, _with_text(features, docs), body))
@@ -98,7 +123,13 @@ def apply_facet_sql(features: DataFrame, sql: str, docs: DataFrame | None = None
 
 
 def _select(spark: SparkSession, f: DataFrame, body: str) -> DataFrame:
-    return spark.sql(re.sub(r"\bfeatures\b", "{f}", body), f=f)
+    """The query over a view of its own name, which is analysed at once, so the view can go."""
+    view = "features_" + uuid.uuid4().hex
+    f.createOrReplaceTempView(view)
+    try:
+        return spark.sql(replace_outside(body, r"\bfeatures\b", view))
+    finally:
+        spark.catalog.dropTempView(view)
 
 
 def _update(f: DataFrame, body: str, statement: str) -> DataFrame:
@@ -171,5 +202,53 @@ def register_functions(spark: SparkSession) -> None:
     test = "get_json_object(x, '$.$type')"
     make("rt_has_mark", "doc STRING, type_id STRING, name STRING DEFAULT NULL", "INT", f"int(coalesce(exists(flatten(transform({wire}.facets, f -> f.features)), x -> ({test} = type_id and (name is null or get_json_object(x, '$.name') = name)) or (name is null and instr(type_id, '#') > 0 and concat({test}, '#', get_json_object(x, '$.name')) = type_id)), false))")
     make("rt_version", "", "STRING", "'0.1.0'")
+    printed = lambda text, facets: f"""concat('{{"text":', regexp_extract(to_json(named_struct('v', {text})), '(?s)^\\\\{{"v":(.*)\\\\}}$', 1), if({facets} is null, '', concat(',"facets":[', array_join(transform({facets}, f -> concat('{{"index":{{"byteStart":', f.index.byteStart, ',"byteEnd":', f.index.byteEnd, '}},"features":[', array_join(f.features, ','), ']}}')), ','), ']')), '}}')"""
+    facet = lambda s, e, features: f"named_struct('index', named_struct('byteStart', int({s}), 'byteEnd', int({e})), 'features', {features})"
+    flag = lambda k: f"exists(f.features, x -> coalesce(boolean(get_json_object(x, '$.{k}')), false) and get_json_object(x, '$.parents') is null)"
+    raw, s, e = f"encode({wire}.text, 'UTF-8')", "f.index.byteStart", "f.index.byteEnd"
+    cut = lambda at: f"hex(substring({raw}, {at} + 1, 1)) rlike '^[89AB]'"
+    shift = f"(pos < {s} or (pos = {s} and not {flag('expandStart')}))"
+    grow = f"(pos < {e} or (pos = {e} and {flag('expandEnd')}))"
+    n = "octet_length(ins)"
+    moved = f"transform({wire}.facets, f -> {facet(f'{s} + if({shift}, {n}, 0)', f'{e} + if({shift} or {grow}, {n}, 0)', 'f.features')})"
+    spliced = f"decode(concat(substring({raw}, 1, pos), encode(ins, 'UTF-8'), substring({raw}, pos + 1)), 'UTF-8')"
+    make("rt_insert_text", "doc STRING, pos INT, ins STRING", "STRING", f"if(pos < 0 or pos > octet_length({wire}.text) or {cut('pos')}, raise_error('insert position out of range or within a character'), {printed(spliced, moved)})")
+    place = lambda x: f"case when {x} <= lo then {x} when {x} >= hi then {x} - (hi - lo) else lo end"
+    clipped = f"filter(transform({wire}.facets, f -> {facet(place(s), place(e), 'f.features')}), f -> f.index.byteStart < f.index.byteEnd)"
+    rest = f"decode(concat(substring({raw}, 1, lo), substring({raw}, hi + 1)), 'UTF-8')"
+    make("rt_delete_text", "doc STRING, lo INT, hi INT", "STRING", f"case when not (lo >= 0 and lo < hi and hi <= octet_length({wire}.text)) then doc when {cut('lo')} or {cut('hi')} then raise_error('delete range cuts a character') else {printed(rest, clipped)} end")
+    named = f"{test} = type_key or concat({test}, '#', get_json_object(x, '$.name')) = type_key"
+    kept = f"filter(transform({wire}.facets, f -> if({s} = lo and {e} = hi, {facet(s, e, f'filter(f.features, x -> not coalesce({named}, false))')}, {facet(s, e, 'f.features')})), f -> size(f.features) > 0)"
+    make("rt_remove_mark", "doc STRING, lo INT, hi INT, type_key STRING", "STRING", printed(f"{wire}.text", kept))
     rows = f"SELECT x.index.byteStart AS byte_start, x.index.byteEnd AS byte_end, get_json_object(j, '$.$type') AS type_id, get_json_object(j, '$.name') AS name, to_json(to_variant_object(map_filter(cast(parse_json(j) as map<string,variant>), (k, v) -> k <> '$type'))) AS data FROM (SELECT explode({wire}.facets) AS x) LATERAL VIEW explode(x.features) t AS j"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION rt_facets(doc STRING) RETURNS TABLE(byte_start INT, byte_end INT, type_id STRING, name STRING, data STRING) RETURN {rows}")
+    marks = f"array_sort(flatten(transform({wire}.facets, (f, i) -> transform(filter(f.features, x -> get_json_object(x, '$.parents') is not null), (x, j) -> named_struct('s', f.index.byteStart, 'i', i, 'j', j, 'e', f.index.byteEnd, 'x', x)))))"
+    rows = f"""SELECT i AS block_index, coalesce(get_json_object(b.x, '$.name'), '') AS name, coalesce(get_json_object(b.x, '$.attrs'), '{{}}') AS attrs, get_json_object(b.x, '$.parents') AS parents,
+      decode(substring(raw, b.e + 1, greatest(0, least(coalesce(try_element_at(marks, i + 2).s, octet_length(raw)), octet_length(raw)) - b.e)), 'UTF-8') AS text
+      FROM (SELECT {marks} AS marks, {raw} AS raw) LATERAL VIEW posexplode(marks) t AS i, b"""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION rt_blocks(doc STRING) RETURNS TABLE(block_index INT, name STRING, attrs STRING, parents STRING, text STRING) RETURN {rows}")
+    spark.udf.register("rt_apply_lens", _apply_lens_udf())
+
+
+def _apply_lens_udf() -> object:
+    """rt_apply_lens(doc, lens JSON): the lens may differ from row to row, so this one runs in Python, in Arrow batches.
+    For one lens over a table, lens.apply_lens is an expression."""
+    import pandas as pd
+
+    def rt_apply_lens(doc: pd.Series, spec: pd.Series) -> pd.Series:
+        from ..lens.interpret import apply_to_json
+        from ..lens.spec import Lens
+
+        lenses: dict[str, Lens] = {}
+        out = []
+        for d, x in zip(doc, spec, strict=True):
+            if d is None or x is None:
+                out.append(None)
+                continue
+            if x not in lenses:
+                lenses[x] = Lens.from_json(x)
+            out.append(apply_to_json(d, lenses[x]))
+        return pd.Series(out, dtype=object)
+
+    rt_apply_lens.__annotations__ = {"doc": pd.Series, "spec": pd.Series, "return": pd.Series}
+    return F.pandas_udf(rt_apply_lens, "string")

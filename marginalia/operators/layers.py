@@ -135,11 +135,12 @@ def migrate(annotations: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def aligned_tokens(links: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
-    """links(link_id, source_indices, target_indices, ...) with tokens(token_index, text) of both sides, pair by pair."""
-    pairs = links.select("link_id", F.explode("source_indices").alias("s"), "target_indices").select("link_id", "s", F.explode("target_indices").alias("t"))
-    a = source.select(F.col("token_index").alias("s"), F.col("text").alias("source_text"))
-    b = target.select(F.col("token_index").alias("t"), F.col("text").alias("target_text"))
-    return pairs.join(a, "s").join(b, "t").select("link_id", F.col("s").alias("source_index"), F.col("t").alias("target_index"), "source_text", "target_text")
+    """links(doc_id, link_id, source_indices, target_indices, ...) with tokens(doc_id, token_index, text) of both sides, pair by
+    pair within a document."""
+    pairs = links.select("doc_id", "link_id", F.explode("source_indices").alias("s"), "target_indices").select("doc_id", "link_id", "s", F.explode("target_indices").alias("t"))
+    a = source.select("doc_id", F.col("token_index").alias("s"), F.col("text").alias("source_text"))
+    b = target.select("doc_id", F.col("token_index").alias("t"), F.col("text").alias("target_text"))
+    return pairs.join(a, ["doc_id", "s"]).join(b, ["doc_id", "t"]).select("doc_id", "link_id", F.col("s").alias("source_index"), F.col("t").alias("target_index"), "source_text", "target_text")
 
 
 def cross_convert(records: DataFrame, fields: dict[str, str], renames: dict[str, str] | None = None) -> DataFrame:

@@ -50,7 +50,7 @@ class _Reader(HTMLParser):
             for i in range(len(self.open) - 1, -1, -1):
                 if self.open[i][0] == t:
                     while len(self.open) > i:
-                        self.close(self.open[-1][0])
+                        self.end(self.open[-1][0])
                     break
                 if self.open[i][0] in SCOPE:
                     break
@@ -72,9 +72,9 @@ class _Reader(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open and self.open[-1][0] == tag:
-            self.close(tag)
+            self.end(tag)
 
-    def close(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         t, fields, start, at = self.open.pop()
         if t in INLINE and self.size > start:
             self.add(start, self.size, t, fields, at)
@@ -82,8 +82,8 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if any(t == tag for t, *_ in self.open):
             while self.open[-1][0] != tag:
-                self.close(self.open[-1][0])
-            self.close(tag)
+                self.end(self.open[-1][0])
+            self.end(tag)
 
     def handle_data(self, data: str) -> None:
         if data.strip():
@@ -97,7 +97,11 @@ class _Reader(HTMLParser):
 def read(raw: str, namespace: str) -> tuple[str, list[dict]]:
     r = _Reader()
     r.feed(raw)
-    r.close_all = [r.close(t) for t in [t for t, *_ in reversed(r.open)]]
+    r.close()  # what the parser has held back: text after an unfinished tag or reference
+    if r.rawdata:  # and what stands in a script or style without an end
+        r.handle_data(r.rawdata)
+    for t in [t for t, *_ in reversed(r.open)]:
+        r.end(t)
     order = sorted(range(len(r.rows)), key=lambda i: (r.rows[i]["byte_start"], -r.rows[i]["byte_end"], i))
     rows, facet, feat, last = [], -1, 0, None
     for i in order:

@@ -265,3 +265,69 @@ def test_a_second_lens_sees_what_the_first_made(spark):
     a = lens([{"match": {"name": "p"}, "replace": {"renameAttrs": {"y": "x"}}}])
     b = lens([{"match": {"name": "p", "matchAttrsAny": {"x": [1]}}, "replace": {"name": "one"}}], "b.facet", "c.facet")
     assert sorted((r.type_id, r.name) for r in apply_lens(f, compose(a, b)).collect()) == [("b.facet", "p"), ("c.facet", "one")]
+
+
+def test_statements_leave_literals_alone(spark):
+    f = features(spark, [(1, 0, 0, 3, "features"), (1, 1, 3, 4, "{x}")])
+    _, (a, b, c) = facet_sql.apply_facet_sql(f, "SELECT count(*) AS n FROM features WHERE name = 'features'; SELECT features.name FROM features WHERE name = '{x}'; SELECT json_object('k', name, 'n', json_object()) AS j FROM features WHERE byte_start = 0")
+    assert a.first().n == 1 and b.first().name == "{x}" and json.loads(c.first().j) == {"k": "features", "n": "{}"}
+    out, _ = facet_sql.apply_facet_sql(f, "UPDATE features SET data = json_object('name', 'text_at(1, 2)') WHERE name = 'features'")
+    assert json.loads(out.where("byte_start = 0").first().data) == {"name": "text_at(1, 2)"}
+    assert "features" not in [t.name for t in spark.catalog.listTables()]
+
+
+DOC = json.dumps({"text": "￼héllo\nx", "facets": [{"index": {"byteStart": 0, "byteEnd": 3}, "features": [{"$type": NS, "name": "p", "parents": []}]}, {"index": {"byteStart": 3, "byteEnd": 6}, "features": [{"$type": NS, "name": "b", "expandEnd": True}, {"$type": NS, "name": "i"}]}, {"index": {"byteStart": 9, "byteEnd": 10}, "features": [{"$type": NS, "name": "q", "parents": ["ul"], "attrs": {"n": 1}}]}]}, ensure_ascii=False)
+
+
+def test_sql_functions_over_documents(spark):
+    facet_sql.register_functions(spark)
+    df = spark.createDataFrame([(DOC,)], "doc string")
+    shown = lambda e: (lambda d: (d["text"], [(f["index"]["byteStart"], f["index"]["byteEnd"], [x["name"] for x in f["features"]]) for f in d.get("facets", [])]))(json.loads(df.selectExpr(f"{e} AS d").first().d))
+    assert shown("rt_insert_text(doc, 6, 'éé')") == ("￼hé" + "éé" + "llo\nx", [(0, 3, ["p"]), (3, 10, ["b", "i"]), (13, 14, ["q"])])
+    assert shown("rt_delete_text(doc, 3, 6)") == ("￼llo\nx", [(0, 3, ["p"]), (6, 7, ["q"])])
+    assert shown("rt_delete_text(doc, 5, 99)")[0] == "￼héllo\nx"
+    assert shown(f"rt_remove_mark(doc, 3, 6, '{NS}#b')")[1][1] == (3, 6, ["i"]) and len(shown(f"rt_remove_mark(doc, 3, 6, '{NS}')")[1]) == 2
+    with pytest.raises(Exception):
+        shown("rt_insert_text(doc, 5, 'x')")
+    rows = spark.sql("SELECT b.* FROM {d} d, LATERAL rt_blocks(d.doc) b ORDER BY block_index", d=df).collect()
+    assert [tuple(r) for r in rows] == [(0, "p", "{}", "[]", "héllo"), (1, "q", '{"n":1}', '["ul"]', "x")]
+    spec = json.dumps(lens([{"match": {"name": "b"}, "replace": {"name": "strong"}}, {"match": {"name": "i"}, "replace": None, "deleteText": True}]).to_json())
+    assert shown(f"rt_apply_lens(doc, '{spec}')") == ("￼llo\nx", [(0, 3, ["p"]), (6, 7, ["q"])])
+
+
+def test_two_edits_of_a_document(spark, docs, f):
+    from marginalia.streaming import edits
+
+    two = spark.createDataFrame([(1, 3, "a"), (1, 5, "b")], "doc_id long, pos int, ins string")
+    with pytest.raises(Exception):
+        edit.insert_text(docs, f, two)[0].collect()
+    muts = [(1, 0, json.dumps({"op": "insertText", "byte_pos": 3, "text": "ab"})), (1, 1, json.dumps({"op": "deleteText", "byte_start": 3, "byte_end": 4}))]
+    d, g = edits.apply_mutations(spark.createDataFrame(muts, "doc_id long, seq long, mutation string"), docs, f, NS)
+    assert d.first().text == "￼bhello world\nand more é"
+    assert sorted((r.byte_start, r.byte_end, r.name) for r in g.collect()) == [(0, 3, "heading"), (4, 9, "bold"), (6, 15, "link"), (15, 16, "paragraph")]
+
+
+def test_patches_keep_existing_features(spark, docs, f):
+    from marginalia.streaming import edits
+
+    p = spark.createDataFrame([(1, 0, "splice", ["text", "1"], '"xy"', 0)], "doc_id long, seq long, action string, path array<string>, value string, length long")
+    done = {r.doc_id: r for r in edits.apply_patches(p, docs.union(spark.createDataFrame([(2, "still")], docs.schema)), NS, features=f).collect()}
+    assert done[1].text.startswith("￼xyhello") and [(x["s"], x["e"], x["name"]) for x in json.loads(done[1].facets)] == [(0, 3, "heading"), (5, 10, "bold"), (7, 16, "link"), (16, 17, "paragraph")]
+    assert done[2].text == "still" and done[2].facets == "[]"
+
+
+def test_mutations_and_patches_go_both_ways():
+    from marginalia.streaming.edits import PatchReader, mutation_patches
+
+    text = "￼a🌍é b"
+    muts = [{"op": "insertText", "byte_pos": 4, "text": "xé"}, {"op": "deleteText", "byte_start": 3, "byte_end": 4}, {"op": "addMark", "byte_start": 3, "byte_end": 6, "name": "bold", "value": True, "expand": True}, {"op": "removeMark", "byte_start": 3, "byte_end": 6, "name": "bold"}, {"op": "addBlock", "byte_pos": 6, "marker": "\n", "name": "heading", "type_id": "t", "parents": ["ul"], "attrs": {"level": 2}}, {"op": "insertText", "byte_pos": 7, "text": "zz"}]
+    reader = PatchReader(text)
+    got = [m for p in mutation_patches(text, muts) for m in reader.read(p)] + reader.flush()
+    assert got == muts
+
+
+def test_alignment_stays_within_a_document(spark):
+    links = spark.createDataFrame([(d, 1, [0], [1]) for d in (1, 2)], "doc_id long, link_id int, source_indices array<int>, target_indices array<int>")
+    tokens = spark.createDataFrame([(d, i, f"{d}-{i}") for d in (1, 2) for i in (0, 1)], "doc_id long, token_index int, text string")
+    got = sorted((r.doc_id, r.source_text, r.target_text) for r in layers.aligned_tokens(links, tokens, tokens).collect())
+    assert got == [(1, "1-0", "1-1"), (2, "2-0", "2-1")]
