@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from .compile import parent_steps, plain_rules
-from .spec import Lens, LensError, Pattern, Replacement, strip_version
+from .spec import Lens, LensError, Pattern, Replacement, Rule, strip_version
 
 
 def _text(v: object) -> str:
@@ -97,9 +98,31 @@ def _replaced(r: Replacement, name: str | None, fields: dict) -> tuple[str | Non
     return name, fields | ({"attrs": nested} if nested is not None and r.touches_attrs else {})
 
 
-def apply_to_feature(lens: Lens, type_id: str, name: str | None, fields: dict) -> tuple[str, str | None, dict] | None:
-    """(type, name, fields) after the first matching rule; None if the feature goes. fields: all but $type."""
-    rule = next((r for r in plain_rules(lens) if matches(r.match, type_id, name, fields)), None)
+def rule_finder(lens: Lens) -> Callable[[str, str | None, dict], Rule | None]:
+    """The first rule that matches; those on type and name alone by a lookup."""
+    exact: dict[tuple, int] = {}
+    tested = []
+    rules = plain_rules(lens)
+    for i, r in enumerate(rules):
+        if r.match.tests_attrs:
+            tested.append(i)
+        else:
+            exact.setdefault((strip_version(r.match.type_id), r.match.name), i)
+
+    def find(type_id: str, name: str | None, fields: dict) -> Rule | None:
+        kind = strip_version(type_id or "")
+        head, _, tail = kind.rpartition("#")
+        at = min((i for i in (exact.get((kind, None)), exact.get((kind, name)), exact.get((head, tail))) if i is not None), default=len(rules))
+        at = next((i for i in tested if i < at and matches(rules[i].match, type_id, name, fields)), at)
+        return rules[at] if at < len(rules) else None
+
+    return find
+
+
+def apply_to_feature(lens: Lens, type_id: str, name: str | None, fields: dict, find: Callable | None = None) -> tuple[str, str | None, dict] | None:
+    """(type, name, fields) after the first matching rule; None if the feature goes. fields: all but $type. find: a
+    rule_finder, where many features go through one lens."""
+    rule = (find or rule_finder(lens))(type_id, name, fields)
     if rule is None and lens.passthrough == "drop" or rule is not None and rule.replace is None:
         return None
     if rule is not None:

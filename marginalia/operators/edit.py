@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.offsets import on_boundary
@@ -30,8 +30,8 @@ def _facet_flags(features: DataFrame, lexicon: DataFrame | None) -> DataFrame:
         key = F.concat_ws("#", "type_id", "name")
         features = features.join(full, key == F.col("__full"), "left").join(kind, F.col("type_id") == F.col("__kind"), "left")
         features = features.withColumn("expand_start", F.coalesce("__s1", "__s2")).withColumn("expand_end", F.coalesce("__e1", "__e2"))
-    flags = features.groupBy("doc_id", "facet_ord").agg(F.bool_or(expands("start", lexicon)).alias("__xs"), F.bool_or(expands("end", lexicon)).alias("__xe"))
-    return features.select(FEATURE_COLUMNS).join(flags, ["doc_id", "facet_ord"])
+    whole = Window.partitionBy("doc_id", "facet_ord")
+    return features.withColumn("__xs", F.bool_or(expands("start", lexicon)).over(whole)).withColumn("__xe", F.bool_or(expands("end", lexicon)).over(whole)).select(*FEATURE_COLUMNS, "__xs", "__xe")
 
 
 def one_each(edits: DataFrame, columns: list[str]) -> DataFrame:

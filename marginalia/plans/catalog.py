@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detect, offsets
@@ -12,7 +13,7 @@ from ..lens import Lens, LensGraph, apply_lens, apply_lens_to_docs, inverse, tra
 from ..operators import blocks as blk
 from ..operators import edit, facet_sql, hir, layers, normalize
 from ..sources import document
-from ..sources.formats import lens_from_hub, lens_to_hub, read_format, write_format
+from ..sources.formats import convert, lens_to_hub, read_format, write_format
 from ..streaming import edits
 from .sample import SPACE, SQL, annotated, table
 
@@ -56,11 +57,55 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT T.doc_id, CAST(length(T.text) AS INTEGER) AS n_chars, CAST(strlen(T.text) AS INTEGER) AS n_bytes, CAST(count(X.doc_id) AS INTEGER) AS n_features, max(CASE WHEN X.name = 'bold' THEN 1 ELSE 0 END) AS has_bold FROM T LEFT JOIN X USING (doc_id) GROUP BY T.doc_id, T.text")
 def document_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as JSON, read back by the SQL scalar functions."""
+    """Documents as JSON, parsed once for all scalars."""
+    docs, features = _base(spark, sf_dir)
+    nested = document.nest(features, docs).select("doc_id", document.parse(F.col("doc")).alias("doc"))
+    return document.scalars(nested, SPACE, "bold").withColumnRenamed("has_mark", "has_bold")
+
+
+def _json_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, features = _base(spark, sf_dir)
     facet_sql.register_functions(spark)
-    nested = document.nest(features, docs)
-    return nested.select("doc_id", F.expr("rt_char_length(doc)").alias("n_chars"), F.octet_length(F.expr("rt_text(doc)")).alias("n_bytes"), F.expr("rt_feature_count(doc)").alias("n_features"), F.expr(f"rt_has_mark(doc, '{SPACE}', 'bold')").alias("has_bold"))
+    return document.nest(features, docs)
+
+
+@query("SELECT T.doc_id, CAST(length(T.text) AS INTEGER) AS n_chars, CAST(count(X.doc_id) AS INTEGER) AS n_features, max(CASE WHEN X.name = 'bold' THEN 1 ELSE 0 END) AS has_bold, '0.1.0' AS version FROM T LEFT JOIN X USING (doc_id) GROUP BY T.doc_id, T.text")
+def sql_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL scalar functions."""
+    return _json_docs(spark, sf_dir).selectExpr("doc_id", "rt_char_length(doc) AS n_chars", "rt_feature_count(doc) AS n_features", f"rt_has_mark(doc, '{SPACE}#bold') AS has_bold", "rt_version() AS version")
+
+
+@query("SELECT doc_id, block_index, 'paragraph' AS name, '[\"root\"]' AS parents, content AS text FROM B")
+def sql_blocks_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function of blocks, lateral to its document."""
+    return spark.sql("SELECT d.doc_id, b.block_index, b.name, b.parents, b.text FROM {d} d, LATERAL rt_blocks(d.doc) b", d=_json_docs(spark, sf_dir))
+
+
+_DOC_ROWS = "SELECT d.doc_id, f.byte_start, f.byte_end, f.name, md5(rt_text(d.doc)) AS digest FROM {d} d, LATERAL rt_facets(d.doc) f"
+
+
+@query("SELECT X.doc_id, CASE WHEN byte_start >= 3 THEN byte_start + 2 ELSE byte_start END AS byte_start, CASE WHEN byte_start >= 3 OR byte_end > 3 THEN byte_end + 2 ELSE byte_end END AS byte_end, name, md5('￼é' || substr(T.text, 2)) AS digest FROM X JOIN T USING (doc_id)")
+def sql_insert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_DOC_ROWS, d=_json_docs(spark, sf_dir).selectExpr("doc_id", "rt_insert_text(doc, 3, 'é') AS doc"))
+
+
+@query("""SELECT doc_id, s AS byte_start, e AS byte_end, name, md5(CASE WHEN n <= 3 THEN text ELSE '￼' || substr(text, 7) END) AS digest FROM (
+  SELECT X.*, n, text, CASE WHEN n <= 3 THEN byte_start WHEN byte_start <= 3 THEN byte_start WHEN byte_start >= n THEN byte_start - (n - 3) ELSE 3 END AS s,
+    CASE WHEN n <= 3 THEN byte_end WHEN byte_end <= 3 THEN byte_end WHEN byte_end >= n THEN byte_end - (n - 3) ELSE 3 END AS e
+  FROM X JOIN (SELECT doc_id, text, CAST(strlen(substr(text, 1, 6)) AS INTEGER) AS n FROM T) USING (doc_id)) WHERE n <= 3 OR s < e""")
+def sql_delete_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_DOC_ROWS, d=_json_docs(spark, sf_dir).selectExpr("doc_id", "rt_delete_text(doc, 3, octet_length(substring(rt_text(doc), 1, 6))) AS doc"))
+
+
+@query("SELECT doc_id, byte_start, byte_end, name FROM X WHERE NOT (name = 'paragraph' AND idx = 0)")
+def sql_remove_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql("SELECT d.doc_id, f.byte_start, f.byte_end, f.name FROM {d} d, LATERAL rt_facets(d.doc) f", d=_json_docs(spark, sf_dir).selectExpr("doc_id", f"rt_remove_mark(doc, 0, 3, '{SPACE}#paragraph') AS doc"))
+
+
+@query("SELECT doc_id, byte_start, byte_end, CASE name WHEN 'bold' THEN 'strong' ELSE name END AS name FROM X WHERE name <> 'italic'")
+def sql_apply_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lens = json.dumps(_lens([{"match": {"name": "bold"}, "replace": {"name": "strong"}}, {"match": {"name": "italic"}, "replace": None}]).to_json())
+    return spark.sql("SELECT d.doc_id, f.byte_start, f.byte_end, f.name FROM {d} d, LATERAL rt_facets(d.doc) f", d=_json_docs(spark, sf_dir).select("doc_id", F.call_udf("rt_apply_lens", "doc", F.lit(lens)).alias("doc")))
 
 
 @query(f"SELECT doc_id, byte_start, byte_end, '{SPACE}' AS type_id, name, href FROM X")
@@ -128,25 +173,38 @@ def char_byte_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", offsets.byte_to_char(F.col("text"), F.octet_length("text")).alias("n_chars"), offsets.char_to_byte(F.col("text"), F.char_length("text")).alias("n_bytes"), offsets.char_to_byte(F.col("text"), half).alias("half_bytes"))
 
 
-@query(r"""--plain
-WITH M AS (
-  SELECT conv_id * 1000 + turn AS doc_id, unnest(regexp_extract_all(coalesce(text, ''), 'https?://[^\s,"'']+|@[A-Za-z0-9._-]+|#[A-Za-z0-9_-]+')) AS raw,
-    generate_subscripts(regexp_extract_all(coalesce(text, ''), 'https?://[^\s,"'']+|@[A-Za-z0-9._-]+|#[A-Za-z0-9_-]+'), 1) - 1 AS ord FROM conversations
+_TOKEN_SQL = r'''regexp_extract_all(text, 'https?://[^\s,"'']+|@[A-Za-z0-9._-]+|#[A-Za-z0-9_-]+')'''
+
+
+def _tokens(text: Column, doc_id: Column, mark: str) -> Column:
+    """Texts with a mention, a tag and a link in front, and every further word marked."""
+    return F.concat(F.lit("See @u"), doc_id.cast("string"), F.lit(". #t"), (doc_id % 7).cast("string"), F.lit(" (https://e.org/p"), doc_id.cast("string"), F.lit("?a=#b). "), F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(f" {mark}")))
+
+
+def _tokens_sql(doc_id: str, mark: str, rows: str) -> str:
+    return f"""--plain
+WITH D AS (
+  SELECT {doc_id} AS doc_id, 'See @u' || {doc_id} || '. #t' || {doc_id} % 7 || ' (https://e.org/p' || {doc_id} || '?a=#b). ' || replace(coalesce(text, ''), ' ', ' {mark}') AS text FROM {rows}
+), M AS (
+  SELECT doc_id, unnest({_TOKEN_SQL}) AS raw, generate_subscripts({_TOKEN_SQL}, 1) - 1 AS ord FROM D
+), K AS (
+  SELECT doc_id, CAST(ord AS INTEGER) AS ord, CASE WHEN raw[1] = '@' THEN 'mention' WHEN raw[1] = '#' THEN 'tag' ELSE 'link' END AS kind,
+    CASE WHEN raw[1] IN ('@', '#') THEN substr(raw, 2) ELSE regexp_replace(raw, '[.!?)]+$', '') END AS value FROM M WHERE NOT (raw[1] = '@' AND raw LIKE '%.')
 )
-SELECT doc_id, CAST(ord AS INTEGER) AS ord, CASE WHEN raw[1] = '@' THEN 'mention' WHEN raw[1] = '#' THEN 'tag' ELSE 'link' END AS kind,
-  CASE WHEN raw[1] IN ('@', '#') THEN substr(raw, 2) ELSE regexp_replace(raw, '[.!?)]+$', '') END AS value FROM M WHERE NOT (raw[1] = '@' AND raw LIKE '%.')""")
+"""
+
+
+@query(_tokens_sql("(conv_id * 1000 + turn)", "@", "conversations") + "SELECT * FROM K")
 def detect_tokens_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return detect.detect(turns).select("doc_id", F.col("ord").cast("int").alias("ord"), "kind", "value")
+    turns = table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
+    return detect.detect(turns.select("doc_id", _tokens(F.col("text"), F.col("doc_id"), "@").alias("text"))).select("doc_id", F.col("ord").cast("int").alias("ord"), "kind", "value")
 
 
-@query(r"""--plain
-WITH M AS (
-  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), 'https?://[^\s,"'']+|@[A-Za-z0-9._-]+|#[A-Za-z0-9_-]+')) AS raw FROM documents
-)
-SELECT CASE WHEN raw[1] = '@' THEN 'mention' WHEN raw[1] = '#' THEN 'tag' ELSE 'link' END AS kind, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM M WHERE NOT (raw[1] = '@' AND raw LIKE '%.') GROUP BY kind""")
+@query(_tokens_sql("doc_id", "#", "documents") + "SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS n_docs, CAST(sum(strlen(value)) AS BIGINT) AS bytes FROM K GROUP BY kind")
 def detect_tokens_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.detect(table(spark, sf_dir, "documents")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    docs = table(spark, sf_dir, "documents")
+    found = detect.detect(docs.select("doc_id", _tokens(F.col("text"), F.col("doc_id"), "#").alias("text")))
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.sum(F.octet_length("value")).alias("bytes"))
 
 
 # -- order, grouping, validation --------------------------------------------------------------------------------------
@@ -180,12 +238,16 @@ def group_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.group_ranges(twice).groupBy("doc_id", "facet_ord", "byte_start", "byte_end").agg(F.count(F.lit(1)).alias("n")).drop("facet_ord")
 
 
-@query("SELECT doc_id, facet_ord, 'inverted_range' AS problem FROM X WHERE name = 'link' UNION ALL SELECT X.doc_id, facet_ord, 'out_of_bounds' FROM X WHERE name = 'italic'")
+@query("""SELECT doc_id, facet_ord, CASE name WHEN 'link' THEN 'inverted_range' WHEN 'italic' THEN 'out_of_bounds' ELSE CASE WHEN idx = 0 THEN 'not_on_boundary' ELSE 'marker_width' END END AS problem FROM X WHERE name <> 'bold'
+UNION ALL SELECT doc_id, 0, 'overlapping_blocks' FROM X WHERE name = 'paragraph' AND idx = 1""")
 def validate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of the five problems: links turned round, italics run over, first blocks begin within a character, second ones
+    before them, others have no marker."""
     docs, f = _base(spark, sf_dir)
-    n = 1_000_000_000
-    broken = f.withColumn("byte_start", F.when(F.col("name") == "link", F.col("byte_end") + 1).otherwise(F.col("byte_start"))).withColumn("byte_end", F.when(F.col("name") == "italic", n).otherwise(F.col("byte_end")))
-    return normalize.validate(docs, broken)
+    block = lambda n: (F.col("name") == "paragraph") & (F.col("facet_ord") == n)
+    start = F.when(F.col("name") == "link", F.col("byte_end") + 1).when(block(0), 1).when(block(3), 0).when(F.col("name") == "paragraph", F.col("byte_end")).otherwise(F.col("byte_start"))
+    end = F.when(F.col("name") == "italic", 1_000_000_000).otherwise(F.col("byte_end"))
+    return normalize.validate(docs, f.withColumns({"byte_start": start, "byte_end": end}))
 
 
 # -- edits ------------------------------------------------------------------------------------------------------------
@@ -215,6 +277,16 @@ def delete_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit.delete_text(docs, f, changes)[1].select(COLUMNS)
 
 
+@query("SELECT X.doc_id, facet_ord, CASE WHEN byte_start >= 3 THEN byte_start + 1 ELSE byte_start END AS byte_start, CASE WHEN byte_start >= 3 OR byte_end > 3 THEN byte_end + 1 ELSE byte_end END AS byte_end, name, md5('￼y' || substr(T.text, 2)) AS digest FROM X JOIN T USING (doc_id)")
+def two_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two edits of each document, one after the other."""
+    docs, f = _base(spark, sf_dir)
+    steps = [{"op": "insertText", "byte_pos": 3, "text": "xy"}, {"op": "deleteText", "byte_start": 3, "byte_end": 4}]
+    changes = docs.select("doc_id", F.posexplode(F.array(*[F.lit(json.dumps(x)) for x in steps])).alias("seq", "mutation"))
+    d, g = edits.apply_mutations(changes, docs, f, SPACE)
+    return g.join(d, "doc_id").select(*COLUMNS, F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 @query("SELECT doc_id, facet_ord, byte_start, byte_end, name FROM X WHERE NOT (name = 'bold' AND idx = 0)")
 def remove_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, f = _base(spark, sf_dir)
@@ -356,6 +428,13 @@ def facet_sql_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facet_sql.apply_facet_sql(f, "SELECT name, count(*) AS n, sum(byte_end - byte_start) AS bytes FROM features GROUP BY name")[1][0]
 
 
+@query("SELECT doc_id, facet_ord, 'features' AS name, '{\"a\":\"features, {x}\",\"n\":' || byte_end || '}' AS made FROM X WHERE name = 'bold'")
+def facet_sql_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals that look like the table or like placeholders; json_object."""
+    _, f = _base(spark, sf_dir)
+    return facet_sql.apply_facet_sql(f, "UPDATE features SET name = 'features' WHERE name = 'bold'; SELECT doc_id, facet_ord, name, json_object('a', 'features, {x}', 'n', byte_end) AS made FROM features WHERE name = 'features'")[1][0]
+
+
 # -- segments and trees -----------------------------------------------------------------------------------------------
 
 
@@ -392,6 +471,18 @@ def hir_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hir.nodes(b, blk.segments(b, f)).select("doc_id", "node_id", "parent_id", "depth", "kind", "name", "content")
 
 
+@query("""SELECT B.doc_id, CAST(1 AS BIGINT) AS containers, count(DISTINCT B.block_index) AS blocks, CAST(count(c.cut) FILTER (c.cut > 0) AS BIGINT) AS texts FROM B LEFT JOIN (
+  SELECT doc_id, block_index, 0 AS cut FROM B UNION SELECT doc_id, block_index, content_end - content_start FROM B
+  UNION SELECT X.doc_id, B.block_index, X.byte_start - B.content_start FROM X JOIN B ON X.doc_id = B.doc_id AND X.idx = B.block_index WHERE X.name <> 'paragraph'
+  UNION SELECT X.doc_id, B.block_index, X.byte_end - B.content_start FROM X JOIN B ON X.doc_id = B.doc_id AND X.idx = B.block_index WHERE X.name <> 'paragraph') c ON c.doc_id = B.doc_id AND c.block_index = B.block_index GROUP BY B.doc_id""")
+def hir_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees by kind of node: one container, a block a line, a text a segment."""
+    docs, f = _base(spark, sf_dir)
+    b = blk.blocks(docs, f)
+    of = lambda k, n: F.sum((F.col("kind") == k).cast("long")).alias(n)
+    return hir.nodes(b, blk.segments(b, f)).groupBy("doc_id").agg(of("container", "containers"), of("block", "blocks"), of("text", "texts"))
+
+
 @query()
 def hir_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, f = _base(spark, sf_dir)
@@ -422,39 +513,45 @@ def html_anchor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, f = _pages(spark, sf_dir)
-    hub = apply_lens(f, lens_to_hub("html"))
-    return write_format(docs, apply_lens(hub, lens_from_hub("markdown")), "markdown")
+    return convert(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("raw")), "html", "markdown")
 
 
 def _round(name: str) -> Query:
+    """Whether what is printed is read as the same text and features, null and empty texts included."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))
         docs, f = read_format(raw, name)
-        again = write_format(docs, f, name)
-        return docs.join(again, "doc_id").select("doc_id", F.char_length("text").alias("n_chars"), F.char_length("raw").alias("n_raw"))
+        again, g = read_format(write_format(docs, f, name), name)
+        rows = lambda x, n: x.groupBy("doc_id").agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("byte_start", "byte_end", "name", "data"))))).alias(n))
+        sides = [d.join(rows(x, "features"), "doc_id", "left").select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), F.char_length("text").alias("n_chars"), "features") for d, x in ((docs, f), (again, g))]
+        a, b = sides[0], sides[1].select(F.col("doc_id").alias("d"), F.col("digest").alias("t"), F.col("features").alias("fs"))
+        return a.join(b, F.col("doc_id") == F.col("d"), "left").select("doc_id", "n_chars", F.col("digest").eqNullSafe(F.col("t")).alias("same_text"), F.col("features").eqNullSafe(F.col("fs")).alias("same_features"))
 
     return run
 
 
-@query("--plain SELECT doc_id, CAST(length(text) + 1 AS INTEGER) AS n_chars, CAST(length(text) AS INTEGER) AS n_raw FROM documents WHERE text <> ''")
+_SAME = "--plain SELECT doc_id, true AS same_text, true AS same_features FROM documents"
+
+
+@query("--plain SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) + 1 END AS INTEGER) AS n_chars, true AS same_text, true AS same_features FROM documents")
 def plaintext_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round("plaintext")(spark, sf_dir).where("n_raw > 0")
+    return _round("plaintext")(spark, sf_dir)
 
 
-@query()
+@query(_SAME)
 def markdown_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round("markdown")(spark, sf_dir)
+    return _round("markdown")(spark, sf_dir).drop("n_chars")
 
 
-@query()
+@query(_SAME)
 def slack_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round("slack")(spark, sf_dir)
+    return _round("slack")(spark, sf_dir).drop("n_chars")
 
 
-@query()
+@query(_SAME)
 def mediawiki_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round("mediawiki")(spark, sf_dir)
+    return _round("mediawiki")(spark, sf_dir).drop("n_chars")
 
 
 # -- annotation layers ------------------------------------------------------------------------------------------------
@@ -524,10 +621,10 @@ def ontology_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- patches ----------------------------------------------------------------------------------------------------------
 
 
-@query("--plain SELECT conv_id AS doc_id, CAST(sum(strlen(text) + CASE WHEN turn > first_ THEN 1 ELSE 3 END) AS INTEGER) AS n_bytes FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first_ FROM conversations) GROUP BY conv_id")
+@query("--plain SELECT conv_id AS doc_id, CAST(sum(strlen(coalesce(text, '')) + CASE WHEN turn > first_ THEN 1 ELSE 3 END) AS INTEGER) AS n_bytes FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first_ FROM conversations) GROUP BY conv_id")
 def patch_fold_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as patches that type them one under the other; the fold gives the whole text."""
-    c = table(spark, sf_dir, "conversations").where("text is not null")
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     units = F.octet_length(F.encode("text", "UTF-16BE")) / 2
     from pyspark.sql import Window
 

@@ -34,20 +34,39 @@ def feature_rows(df: DataFrame, doc: str = "doc", doc_id: str = "doc_id") -> Dat
     """The flat view of a nested column: a row a feature, in order."""
     facets = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.col(f"{doc}.facets")).alias("facet_ord", "facet"))
     rows = facets.select("doc_id", "facet_ord", F.col("facet.index.byteStart").alias("byte_start"), F.col("facet.index.byteEnd").alias("byte_end"), F.posexplode("facet.features").alias("feat_ord", "json"))
-    fields = jsonfn.as_map(F.col("json"))
-    name = F.when(F.expr("schema_of_variant(variant_get(try_parse_json(json), '$.name')) = 'STRING'"), F.get_json_object("json", "$.name"))
-    return rows.select("doc_id", "facet_ord", "feat_ord", "byte_start", "byte_end", F.get_json_object("json", "$.$type").alias("type_id"), name.alias("name"), jsonfn.as_json(jsonfn.without_keys(fields, ["$type"])).alias("data"))
+    parsed = rows.withColumn("m", jsonfn.as_map(F.col("json")))  # parsed once
+    text = lambda k: F.try_variant_get(F.element_at("m", F.lit(k)), "$", "string")
+    name = F.when(F.schema_of_variant(F.element_at("m", F.lit("name"))) == "STRING", text("name"))
+    return parsed.select("doc_id", "facet_ord", "feat_ord", "byte_start", "byte_end", text("$type").alias("type_id"), name.alias("name"), jsonfn.as_json(jsonfn.without_keys(F.col("m"), ["$type"])).alias("data"))
+
+
+def scalars(df: DataFrame, type_id: str, name: str | None = None, doc: str = "doc") -> DataFrame:
+    """(doc_id, n_chars, n_bytes, n_features, has_mark) of a nested column: what the SQL scalars give, from one parse."""
+    facets, text = F.col(f"{doc}.facets"), F.col(f"{doc}.text")
+    kind, own = (lambda x: F.get_json_object(x, "$.$type")), (lambda x: F.get_json_object(x, "$.name"))
+    whole = lambda x: (kind(x) == type_id) & (F.coalesce(own(x) == name, F.lit(False)) if name is not None else F.lit(True))
+    split = lambda x: F.coalesce(F.concat_ws("#", kind(x), own(x)) == type_id, F.lit(False)) if name is None and "#" in type_id else F.lit(False)
+    count = F.aggregate(facets, F.lit(0), lambda n, f: n + F.size(f["features"]))
+    found = F.exists(facets, lambda f: F.exists(f["features"], lambda x: F.coalesce(whole(x), F.lit(False)) | split(x)))
+    return df.select("doc_id", F.char_length(text).alias("n_chars"), F.octet_length(text).alias("n_bytes"), F.coalesce(count, F.lit(0)).alias("n_features"), F.coalesce(found, F.lit(False)).cast("int").alias("has_mark"))
 
 
 def nest(features: DataFrame, docs: DataFrame) -> DataFrame:
     """Back to (doc_id, doc JSON). Features of one facet stay together; a document without features has no facets key."""
     body = F.regexp_replace(F.col("data"), r"^\{", "")
     typed = F.concat(F.lit('{"$type":'), F.regexp_extract(F.expr("to_json(named_struct('v', type_id))"), r'^\{"v":(.*)\}$', 1), F.when(body == "}", body).otherwise(F.concat(F.lit(","), body)))
-    facet = features.groupBy("doc_id", "facet_ord", "byte_start", "byte_end").agg(F.array_sort(F.collect_list(F.struct("feat_ord", typed.alias("j")))).alias("fs"))
-    text = F.concat(F.lit('{"index":{"byteStart":'), F.col("byte_start"), F.lit(',"byteEnd":'), F.col("byte_end"), F.lit('},"features":['), F.array_join(F.transform("fs", lambda x: x["j"]), ","), F.lit("]}"))
-    whole = facet.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("byte_start", (-F.col("byte_end")).alias("e"), "facet_ord", text.alias("j")))).alias("facets"))
+    rows = features.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("byte_start", (-F.col("byte_end")).alias("e"), "facet_ord", "feat_ord", typed.alias("j")))).alias("fs"))
+
+    def piece(x: Column, i: Column) -> Column:
+        """A feature, and before the first of a facet the end of the one before and its own head."""
+        last = F.try_element_at(F.col("fs"), i)
+        head = F.concat(F.lit('{"index":{"byteStart":'), x["byte_start"], F.lit(',"byteEnd":'), -x["e"], F.lit('},"features":['))
+        same = (last["byte_start"] == x["byte_start"]) & (last["e"] == x["e"]) & (last["facet_ord"] == x["facet_ord"])
+        return F.concat(F.when(i == 0, head).when(same, F.lit(",")).otherwise(F.concat(F.lit("]},"), head)), x["j"])
+
+    whole = rows.withColumn("facets", F.concat(F.array_join(F.transform("fs", piece), ""), F.lit("]}")))
     quoted = F.regexp_extract(F.expr("to_json(named_struct('v', text))"), r'(?s)^\{"v":(.*)\}$', 1)
-    facets = F.when(F.col("facets").isNull(), F.lit("")).otherwise(F.concat(F.lit(',"facets":['), F.array_join(F.transform("facets", lambda x: x["j"]), ","), F.lit("]")))
+    facets = F.when(F.col("facets").isNull(), F.lit("")).otherwise(F.concat(F.lit(',"facets":['), F.col("facets"), F.lit("]")))
     return docs.join(whole, "doc_id", "left").select("doc_id", F.concat(F.lit('{"text":'), quoted, facets, F.lit("}")).alias("doc"))
 
 
