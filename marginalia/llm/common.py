@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,13 @@ def distinct(a: np.ndarray) -> np.ndarray:
     return a if len(a) < 2 else a[np.concatenate(([True], a[1:] != a[:-1]))]
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches cut into pieces of at most so many rows: what is made from a piece is what a worker holds."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, rows):
+            yield whole.slice(lo, rows)
+
+
 def by_batch(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, arrow_schema: pa.Schema) -> DataFrame:
     """Map each Arrow batch to one batch of new columns; nothing is kept between batches."""
 

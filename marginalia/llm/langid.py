@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, distinct, remainder
+from .common import byte_texts, distinct, remainder, slices
 
 DIRECT, HASHED = 0x2000, 0x1000
 ROWS = DIRECT + HASHED
@@ -111,7 +111,7 @@ def fit_prototypes(rows: DataFrame, dims: int = 512, max_rows_per_lang: int = 30
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, total = space_of(dims), {}
-        for batch in batches:
+        for batch in slices(batches):
             langs = np.array(batch.column(1).to_pylist(), object)
             unit = _unit(space.profiles(byte_texts(batch.column(0))))
             for lang in set(langs):
@@ -136,7 +136,7 @@ def predict(docs: DataFrame, model: Prototypes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         space = space_of(model.dims)
-        for batch in batches:
+        for batch in slices(batches):
             unit = _unit(space.profiles(byte_texts(batch.column(1))))
             known = np.abs(unit).sum(1) > 0
             if model.langs:
@@ -172,7 +172,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.15, min_bytes: int = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         space = space_of(model.dims)
-        for batch in batches:
+        for batch in slices(batches):
             texts = byte_texts(batch.column(at))
             unit = _unit(space.profiles(texts))
             found = np.abs(unit).sum(1) > 0

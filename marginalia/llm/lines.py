@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import SPACES, byte_texts, dropped, stored, unused
+from .common import SPACES, byte_texts, dropped, slices, stored, unused
 
 SEGMENT_BITS = 1 << 19
 HASHES = 4
@@ -143,7 +143,7 @@ def line_drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = twice.value
-        for batch in batches:
+        for batch in slices(batches):
             keys, rows = [], []
             for i, text in enumerate(byte_texts(batch.column(1))):
                 own = {k for k in line_keys(text, min_chars) if k is not None}
@@ -185,20 +185,18 @@ def map_with(docs: DataFrame, side: DataFrame, rows: Callable[[pa.RecordBatch, l
     found = lambda batch: probably_twice(held.value, _id_hashes(batch.column(at)))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in slices(batches):
             batch = whole.filter(pa.array(~found(whole)))
-            for lo in range(0, batch.num_rows, 1024):
-                yield rows(batch.slice(lo, 1024), [None] * min(1024, batch.num_rows - lo))
+            if batch.num_rows:
+                yield rows(batch, [None] * batch.num_rows)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(found(batch)))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                yield rows(pa.RecordBatch.from_arrays(batch.columns[: len(own)], names=own), batch.column(len(own)).to_pylist())
+        for batch in slices(batches, 512):
+            yield rows(pa.RecordBatch.from_arrays(batch.columns[: len(own)], names=own), batch.column(len(own)).to_pylist())
 
     key, value = unused(docs, "side_id"), unused(docs, "side_value")
     wanted = docs.mapInArrow(chosen, docs.schema)

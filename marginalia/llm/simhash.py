@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, dropped, stored, unused
+from .common import byte_texts, dropped, slices, stored, unused
 from .components import components
 
 
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
     """(doc_id, fp): fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, words_per_shingle) for t in byte_texts(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(fps)})
 

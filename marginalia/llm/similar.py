@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, distinct, dropped, stored, unused
+from .common import byte_texts, distinct, dropped, slices, stored, unused
 from .components import components
 from .simhash import fingerprint
 from .simhash import links as simhash_links
@@ -75,26 +75,24 @@ def signatures(docs: DataFrame, words_per_shingle: int) -> DataFrame:
     """(doc_id, fp, node, n, key, bands, agree): n shingles; key of the text; agree has the low byte of each minhash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                texts = byte_texts(batch.column(1))
-                sets = [shingles(t, words_per_shingle) for t in texts]
-                sigs = np.array([minhashes(s) for s in sets], np.uint32)
-                bands = band_values(sigs)
-                low = (sigs & np.uint32(255)).astype(np.uint8)
-                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 5) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column(0),
-                        "fp": pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)),
-                        "node": pa.array(nodes),
-                        "n": pa.array([len(s) for s in sets], pa.int32()),
-                        "key": batch.column(2),
-                        "bands": pa.array([v if len(s) else [] for v, s in zip(bands, sets, strict=True)], pa.list_(pa.int64())),
-                        "agree": pa.array([x.tobytes() for x in low], pa.binary()),
-                    }
-                )
+        for batch in slices(batches, 256):
+            texts = byte_texts(batch.column(1))
+            sets = [shingles(t, words_per_shingle) for t in texts]
+            sigs = np.array([minhashes(s) for s in sets], np.uint32)
+            bands = band_values(sigs)
+            low = (sigs & np.uint32(255)).astype(np.uint8)
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 5) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column(0),
+                    "fp": pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)),
+                    "node": pa.array(nodes),
+                    "n": pa.array([len(s) for s in sets], pa.int32()),
+                    "key": batch.column(2),
+                    "bands": pa.array([v if len(s) else [] for v, s in zip(bands, sets, strict=True)], pa.list_(pa.int64())),
+                    "agree": pa.array([x.tobytes() for x in low], pa.binary()),
+                }
+            )
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, "doc_id long, fp long, node long, n int, key long, bands array<long>, agree binary")
 
@@ -186,7 +184,7 @@ def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words_per_shingl
     texts = keyed.join(F.broadcast(wanted) if few else wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_pydict({"node": batch.column(0), "set": pa.array([shingles(t, words_per_shingle).tobytes() for t in byte_texts(batch.column(1))], pa.binary())})
 
     return stored(texts.mapInArrow(sets, "node long, set binary"), "sets")
@@ -196,7 +194,7 @@ def _verified(pairs: DataFrame, own: DataFrame, least: tuple[int, int]) -> DataF
     """Those of pairs(a, b) whose shingle sets reach the similarity."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 both, either = jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, dropped, remainder, stored
+from .common import byte_texts, dropped, remainder, slices, stored
 
 #: Common insults of four languages, as UTF-8, lower case.
 INSULTS = frozenset(
@@ -258,7 +258,7 @@ def score_toxicity(docs: DataFrame, model: Model, mod: int = 3, out: int = 1, th
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([features(t, own.learned) for t in byte_texts(batch.column(1))]).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(own.score(x), pa.float64())})
 
