@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, distinct, dropped, slices, stored, unused
+from .common import byte_texts, distinct, dropped, slices, stored
 from .components import components
+from .lines import map_with
 from .simhash import fingerprint
 from .simhash import links as simhash_links
 
@@ -227,8 +228,10 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 5, least: tuple[int, int]
     roots = stored(components(first), "roots")
 
     large = members.join(met.where(F.col("k") > small).select("value"), "value").drop("root")
-    large = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    large = stored(large, "large")
+    large = stored(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "large")
+    # where a band's members are one group already there is nothing to link, and no shingle set to ship
+    parted = large.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("value")
+    whole, large = large, stored(large.join(parted, "value"), "parted")
     if large.head(1):
         more = _pairs(large.join(_sets(large.select("node"), *how), "node"), small, least)
         roots = stored(components(first.union(more)), "roots")
@@ -237,7 +240,8 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 5, least: tuple[int, int]
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     final = stored(named.join(ids, "root").select("node", "component_id"), "classes")
     found = own.select("doc_id", "node").join(final, "node")
-    key = unused(docs, "stays")
-    stay = stored(found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct(), "stay")
-    dropped(own, nodes, met, members, pairs, leads, first, large, roots, final)
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay[key]), "left_semi")
+    stays = F.bool_or(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    gone = stored(found.groupBy("doc_id").agg(stays.alias("stays")).where("not stays"), "gone")
+    dropped(own, nodes, met, members, pairs, leads, first, whole, large, roots, final)
+    # texts aren't shuffled but for those that go, and the filter's false hits
+    return map_with(docs, gone, lambda batch, values: batch.filter(pa.array([x is None for x in values], pa.bool_())), docs.schema)
