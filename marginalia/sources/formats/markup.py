@@ -5,6 +5,7 @@ only."""
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -41,9 +42,11 @@ class Syntax:
 
 def scan(s: str, x: Syntax, marks: tuple = ()) -> list[Run]:
     out: list[Run] = []
-    at, last = 0, 0
-    patterns = _compiled(x)
-    while at < len(s):
+    at, last, line_end = 0, 0, -1
+    patterns, starts = _compiled(x)
+    doubled = {a: any(d[0] == a + a for d in x.delimiters) for a, _, _ in x.delimiters}
+    while (start := starts.search(s, at)) is not None:
+        at = start.start()
         if x.escape and s[at] == x.escape and at + 1 < len(s) and not s[at + 1].isalnum() and not s[at + 1].isspace():
             out += [(s[last:at], marks), (s[at + 1], marks)]
             at = last = at + 2
@@ -60,14 +63,17 @@ def scan(s: str, x: Syntax, marks: tuple = ()) -> list[Run]:
                 if not s.startswith(a, at) or (x.word_edges and a[0] in "_~-+^" and at and s[at - 1].isalnum()):
                     continue
                 lo = at + len(a)
-                hi = s.find(b, lo + 1)
+                if line_end < lo:
+                    line_end = end if (end := s.find("\n", lo)) >= 0 else len(s)
+                hi = s.find(b, lo + 1, line_end)  # a mark ends in its line
                 if len(b) == 2 and b[0] == b[1]:
                     while hi >= 0 and s.startswith(b, hi + 1):  # the last two of three close the outer mark
                         hi += 1
-                elif any(d[0] == a + a for d in x.delimiters):
+                elif doubled[a]:
                     while hi >= 0 and s.startswith(b + b, hi):  # those of a doubled delimiter close nothing here
-                        hi = s.find(b, s.find(b + b, hi + 2) + 2 if s.find(b + b, hi + 2) >= 0 else hi + 2)
-                if hi < 0 or (x.word_edges and (s[lo].isspace() or s[hi - 1].isspace())) or "\n" in s[lo:hi]:
+                        pair = s.find(b + b, hi + 2)
+                        hi = s.find(b, (pair if pair >= 0 else hi) + 2, line_end)
+                if hi < 0 or (x.word_edges and (s[lo].isspace() or s[hi - 1].isspace())):
                     continue
                 m = (*marks, mark(name))
                 hit = (hi + len(b), [(s[lo:hi], m)] if name in ("code", "literal") or not x.nest else scan(s[lo:hi], x, m))
@@ -81,15 +87,24 @@ def scan(s: str, x: Syntax, marks: tuple = ()) -> list[Run]:
     return merge_runs([*out, (s[last:], marks)])
 
 
-_CACHE: dict[int, list] = {}
+_CACHE: dict[int, tuple] = {}
 
 
-def _compiled(x: Syntax) -> list:
+def _compiled(x: Syntax) -> tuple[list, re.Pattern]:
+    """The patterns, and one for the places where an escape, a pattern or a delimiter can begin."""
     if id(x) not in _CACHE:
-        _CACHE[id(x)] = [(re.compile(p), f) for p, f in x.patterns]
+        unnamed = [re.sub(r"\(\?P<\w+>", "(?:", p) for p, _ in x.patterns]
+        starts = [*([re.escape(x.escape)] if x.escape else []), *dict.fromkeys(re.escape(a) for a, _, _ in x.delimiters), *unnamed]
+        _CACHE[id(x)] = ([(re.compile(p), f) for p, f in x.patterns], re.compile("|".join(starts) or r"(?!)"))
     return _CACHE[id(x)]
 
 
+@functools.cache
+def _whole(pattern: str) -> Callable[[str], re.Match | None]:
+    """A line's match of the whole pattern, which is looked up once."""
+    return re.compile(pattern).fullmatch
+
+
 def parse(raw: str, x: Syntax) -> list[dict]:
     return _blocks(raw.replace("\r\n", "\n").split("\n"), x)
 
@@ -110,38 +125,38 @@ def _blocks(lines: list[str], x: Syntax) -> list[dict]:
             flush()
             i += 1
             continue
-        if x.fence and (m := re.fullmatch(x.fence[0], line.strip())):
+        if x.fence and (m := _whole(x.fence[0])(line.strip())):
             flush()
             body = []
             i += 1
-            while i < len(lines) and not re.fullmatch(x.fence[1], lines[i].strip()):
+            while i < len(lines) and not _whole(x.fence[1])(lines[i].strip()):
                 body.append(lines[i])
                 i += 1
             i += 1
             lang = m.groupdict().get("lang") or ""
             out.append(leaf("code-block", [("\n".join(body), ())], **({"language": lang} if lang else {})))
             continue
-        if x.rule and re.fullmatch(x.rule, line.strip()):
+        if x.rule and _whole(x.rule)(line.strip()):
             flush()
             out.append(leaf("horizontal-rule"))
             i += 1
             continue
-        special = next(((m, f) for p, f in x.line_blocks if (m := re.fullmatch(p, line))), None)
+        special = next(((m, f) for p, f in x.line_blocks if (m := _whole(p)(line))), None)
         if special:
             flush()
             made = special[1](special[0], lambda t: scan(t, x))
             out += made if isinstance(made, list) else [made]
             i += 1
             continue
-        if x.heading and (m := re.fullmatch(x.heading, line.strip())):
+        if x.heading and (m := _whole(x.heading)(line.strip())):
             flush()
             out.append(leaf("heading", scan(m["text"].strip(), x), level=x.heading_level(m["level"])))
             i += 1
             continue
-        if x.quote and (m := re.fullmatch(x.quote, line)):
+        if x.quote and (m := _whole(x.quote)(line)):
             flush()
             inner = []
-            while i < len(lines) and (m := re.fullmatch(x.quote, lines[i])):
+            while i < len(lines) and (m := _whole(x.quote)(lines[i])):
                 inner.append(m[1])
                 i += 1
             out.append(quote(_blocks(inner, x)))
@@ -167,7 +182,7 @@ def _blocks(lines: list[str], x: Syntax) -> list[dict]:
 def _item(line: str, x: Syntax) -> tuple | None:
     """(depth key, ordered, number, text)"""
     for ordered, p in ((False, x.bullet), (True, x.ordered)):
-        if p and (m := re.fullmatch(p, line)):
+        if p and (m := _whole(p)(line)):
             g = m.groupdict()
             return (len(g.get("indent") or g.get("stars") or ""), ordered, int(g["n"]) if g.get("n") else 1, m["text"])
     return None

@@ -4,6 +4,7 @@ between - changing vocabularies above all - is expressions on the features table
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -232,3 +233,28 @@ def convert(df: DataFrame, source: str, target: str, raw: str = "raw", doc_id: s
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "raw": pa.array([one(x) for x in batch.column(1).to_pylist()], pa.string())})
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(raw).alias("raw")).mapInArrow(run, "doc_id long, raw string")
+
+
+def round_trip(df: DataFrame, name: str, raw: str = "raw", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_chars, same_text, same_features), a row a row of df: whether what is printed is read as the same text and
+    features - read, printed and read again a document at a time in one Arrow stage, without a shuffle. Null is an empty
+    document; null and repeated ids change nothing."""
+    fmt = get_format(name)
+
+    def flat(rows: list[dict]) -> Counter:
+        return Counter((r["byte_start"], r["byte_end"], r["name"], r["data"]) for r in rows)
+
+    def one(x: str | None) -> tuple[int, bool, bool]:
+        text, rows = fmt.read(x) if x else ("", [])
+        printed = fmt.write(text, rows)
+        again, found = fmt.read(printed) if printed else ("", [])
+        return len(text), again == text, flat(found) == flat(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                done = [one(x) for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_chars": pa.array([x[0] for x in done], pa.int32()), "same_text": pa.array([x[1] for x in done], pa.bool_()), "same_features": pa.array([x[2] for x in done], pa.bool_())})
+
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(raw).alias("raw")).mapInArrow(run, "doc_id long, n_chars int, same_text boolean, same_features boolean")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.lens import apply_lens
-from marginalia.sources.formats import get_format, has_format, lens_to_hub, list_formats, read_format
+from marginalia.sources.formats import get_format, has_format, lens_to_hub, list_formats, read_format, round_trip
+from marginalia.sources.formats import lines, markup
 from marginalia.sources.formats.registry import convert
 
 CASES = {
@@ -100,3 +101,33 @@ def test_hub_vocabulary(spark):
 def test_html_keeps_its_tail(raw, text):
     got = get_format("html").read(raw)[0]
     assert got.replace(" ", "").startswith(text.replace(" ", "")), got
+
+
+@pytest.mark.parametrize("name", ["markdown"])
+def test_round_trip_of_a_table(spark, name):
+    """A row a row, whatever the ids; nothing is shuffled or read twice."""
+    from marginalia.plans import catalog
+
+    rows = [(None, "a **b** c"), (1, "# T\n\n- i\n- [l](http://x)"), (1, "x"), (2, None), (3, "")]
+    got = round_trip(spark.createDataFrame(rows, "doc_id long, raw string"), name).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 1, 1, 2, 3] and all(r.same_text and r.same_features for r in got)
+    plan = catalog.queries()[f"{name}_round_trip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["commonmark"])
+def test_plain_text_is_skipped(name):
+    """Patterns are tried only where one can begin."""
+    tried, x = [], getattr(lines, name)
+    patterns, starts = markup._compiled(x)
+
+    class Counted:
+        def match(self, s, at):
+            tried.append(at)
+
+    markup._CACHE[id(x)] = ([(Counted(), None)], starts)
+    try:
+        assert markup.scan("plain words, " * 1000 + "and *one* mark", x)[1][0] == "one"
+    finally:
+        markup._CACHE[id(x)] = (patterns, starts)
+    assert len(tried) <= 3
