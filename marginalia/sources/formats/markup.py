@@ -39,11 +39,19 @@ class Syntax:
     print_mark: dict = field(default_factory=dict)  # mark -> fn(text, attrs) -> str
     word_edges: bool = True  # delimiters open before and close after text, not spaces
 
+    @functools.cached_property
+    def compiled(self) -> tuple[list, re.Pattern]:
+        """The patterns, and one for the places where an escape, a pattern or a delimiter can begin. Kept in the object: a
+        worker gets copies, and the next may lie where one before it lay."""
+        unnamed = [re.sub(r"\(\?P<\w+>", "(?:", p) for p, _ in self.patterns]
+        starts = [*([re.escape(self.escape)] if self.escape else []), *dict.fromkeys(re.escape(a) for a, _, _ in self.delimiters), *unnamed]
+        return [(re.compile(p), f) for p, f in self.patterns], re.compile("|".join(starts) or r"(?!)")
+
 
 def scan(s: str, x: Syntax, marks: tuple = ()) -> list[Run]:
     out: list[Run] = []
     at, last, line_end = 0, 0, -1
-    patterns, starts = _compiled(x)
+    patterns, starts = x.compiled
     doubled = {a: any(d[0] == a + a for d in x.delimiters) for a, _, _ in x.delimiters}
     while (start := starts.search(s, at)) is not None:
         at = start.start()
@@ -87,18 +95,6 @@ def scan(s: str, x: Syntax, marks: tuple = ()) -> list[Run]:
     return merge_runs([*out, (s[last:], marks)])
 
 
-_CACHE: dict[int, tuple] = {}
-
-
-def _compiled(x: Syntax) -> tuple[list, re.Pattern]:
-    """The patterns, and one for the places where an escape, a pattern or a delimiter can begin."""
-    if id(x) not in _CACHE:
-        unnamed = [re.sub(r"\(\?P<\w+>", "(?:", p) for p, _ in x.patterns]
-        starts = [*([re.escape(x.escape)] if x.escape else []), *dict.fromkeys(re.escape(a) for a, _, _ in x.delimiters), *unnamed]
-        _CACHE[id(x)] = ([(re.compile(p), f) for p, f in x.patterns], re.compile("|".join(starts) or r"(?!)"))
-    return _CACHE[id(x)]
-
-
 @functools.cache
 def _whole(pattern: str) -> Callable[[str], re.Match | None]:
     """A line's match of the whole pattern, which is looked up once."""
