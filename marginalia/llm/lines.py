@@ -3,8 +3,9 @@
 Every task notes the keys it has seen once and those it has seen twice; merged filters send what two tasks saw once to
 the second filter, bit by bit, so a repeated key is never missed. Only keys in the second filter - repeats and few false
 hits - are shuffled, as 128-bit digests with their documents, to be counted exactly and to choose the document that
-keeps the line. Only documents that lose a line are shuffled, to meet their lines; a third filter, over their ids, lets
-all others pass where they are.
+keeps the line. Up to 500,000 repeated keys are broadcast with the document that keeps each, and no text is shuffled.
+Beyond that documents that lose a line are shuffled, to meet their lines; a third filter, over their ids, lets all others
+pass where they are.
 
 The filters' size follows the number of documents up to ``max_bits`` (128 MB); beyond that more false hits are shuffled,
 24 bytes each, and the result stays exact. What is broadcast are the filters, so its size is bounded.
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
@@ -135,8 +137,19 @@ def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def line_drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per_doc: int = 512, max_bits: int = 1 << 30, few: int = 500_000) -> DataFrame:
-    """(doc_id, keys): digests of the keys whose lines the document loses."""
+def _suspects(texts: list[bytes], packed: np.ndarray, min_chars: int) -> tuple[list[bytes], np.ndarray]:
+    """Digests of the keys that the filter holds for repeats, once a text, and the place of each one's text."""
+    keys, rows = [], []
+    for i, text in enumerate(texts):
+        own = {k for k in line_keys(text, min_chars) if k is not None}
+        keys += own
+        rows += [i] * len(own)
+    found = np.flatnonzero(probably_twice(packed, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)))
+    return [_digest(keys[i]) for i in found], np.array(rows, np.int64)[found]
+
+
+def _repeats(docs: DataFrame, min_chars: int, min_docs: int, bits_per_doc: int, max_bits: int) -> tuple[Broadcast, DataFrame, DataFrame]:
+    """The filter of repeats; (key, doc_id) of what it holds; (key, last) of the keys in ``min_docs`` documents or more."""
     spark = docs.sparkSession
     bits = filter_bits(docs.count() * bits_per_doc, max_bits)
     twice = spark.sparkContext.broadcast(seen_twice(docs, lambda texts: _key_hashes(texts, min_chars), bits))
@@ -144,20 +157,16 @@ def line_drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = twice.value
         for batch in slices(batches):
-            keys, rows = [], []
-            for i, text in enumerate(byte_texts(batch.column(1))):
-                own = {k for k in line_keys(text, min_chars) if k is not None}
-                keys += own
-                rows += [i] * len(own)
-            if not keys:
-                continue
-            hit = probably_twice(packed, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64))
-            found = np.flatnonzero(hit)
-            yield pa.RecordBatch.from_pydict({"key": pa.array([_digest(keys[i]) for i in found], pa.binary()), "doc_id": batch.column(0).take(pa.array(np.array(rows)[found]))})
+            found, rows = _suspects(byte_texts(batch.column(1)), packed, min_chars)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(found, pa.binary()), "doc_id": batch.column(0).take(pa.array(rows))})
 
     pairs = stored(docs.select("doc_id", "text").mapInArrow(suspects, "key binary, doc_id long"), "line-suspects")
     exact = pairs.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
     exact = stored(exact.select("key", "last"), "line-repeats")
+    return twice, pairs, exact
+
+
+def _lost_pairs(pairs: DataFrame, exact: DataFrame, few: int) -> DataFrame:
     # up to ``few`` keys of 24 bytes are sent to the pairs; beyond that both are shuffled, and hot keys split by the planner
     met = pairs.join(F.broadcast(exact) if exact.count() <= few else exact, "key")
     lost = met.where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("last")))
@@ -166,6 +175,40 @@ def line_drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per
     return out
 
 
+def line_drops(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per_doc: int = 512, max_bits: int = 1 << 30, few: int = 500_000) -> DataFrame:
+    """(doc_id, keys): digests of the keys whose lines the document loses."""
+    _, pairs, exact = _repeats(docs, min_chars, min_docs, bits_per_doc, max_bits)
+    return _lost_pairs(pairs, exact, few)
+
+
+def map_lines(docs: DataFrame, rows: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str | T.StructType, min_chars: int = 40, min_docs: int = 5, few: int = 500_000) -> DataFrame:
+    """rows(batch of docs, the keys each row loses). Up to ``few`` repeated keys are broadcast, with the document that keeps
+    each, and every document finds its own where it is; with more, documents that lose a line are shuffled."""
+    twice, pairs, exact = _repeats(docs.select("doc_id", "text"), min_chars, min_docs, 512, 1 << 30)
+    if exact.count() > few:
+        return map_with(docs, _lost_pairs(pairs, exact, few), rows, schema)
+    found = exact.toArrow().sort_by("key")
+    side = docs.sparkSession.sparkContext.broadcast((np.array(found["key"].to_pylist(), "S16"), found["last"].to_numpy()))
+    dropped(pairs, exact)
+    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, lasts = side.value
+        for batch in slices(batches, 512):
+            lost: list = [None] * batch.num_rows
+            own, at = _suspects(byte_texts(batch.column(text_at)), twice.value, min_chars) if len(digests) else ([], [])
+            if own:
+                keys = np.array(own, "S16")
+                place = np.minimum(np.searchsorted(digests, keys), len(digests) - 1)
+                ids = batch.column(id_at).cast(pa.int64())
+                null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+                for i in np.flatnonzero((digests[place] == keys) & (null[at] | (ids[at] != lasts[place]))):
+                    lost[at[i]] = [*(lost[at[i]] or ()), own[i]]
+            yield rows(batch, lost)
+
+    return docs.mapInArrow(run, schema)
+
+
 def _id_hashes(ids: pa.Array) -> np.ndarray:
     """Of integer ids; nulls have one of their own."""
     h = ids.cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -222,7 +265,7 @@ def line_report(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
         done = [kept_text(t, k, min_chars) for t, k in zip(byte_texts(batch.column(1)), keys, strict=True)]
         return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_lines": pa.array([x[1] for x in done], pa.int64()), "n_dropped": pa.array([x[2] for x in done], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x[0]).hexdigest() for x in done], pa.string())})
 
-    return map_with(own, line_drops(own, min_chars, min_docs), rows, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return map_lines(own, rows, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", min_chars, min_docs)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -234,4 +277,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
         stay = [t if t is None else kept_text(t, k, min_chars)[0] for t, k in zip(texts, keys, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(stay, pa.binary()).cast(pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=names)
 
-    return map_with(docs, line_drops(docs.select("doc_id", "text"), min_chars, min_docs), rows, docs.schema)
+    return map_lines(docs, rows, docs.schema, min_chars, min_docs)

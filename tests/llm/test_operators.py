@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -572,3 +573,21 @@ def test_a_session_of_many_machines_needs_a_shared_folder():
         session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
         with pytest.raises(RuntimeError):
             common.shared_folder(session, "x")
+
+
+def test_lines_go_without_a_shuffle_of_texts(spark):
+    """Null, empty and repeated texts, null and repeated ids: broadcast keys and shuffled documents give the same, and with
+    few keys no text is shuffled."""
+    long = ["a line that is long enough to count, number %02d é" % i for i in range(4)]
+    texts = [(i % 7, "\n".join([long[0], f"own {i}", long[i % 4].upper(), long[0]])) for i in range(30)]
+    docs = spark.createDataFrame([*texts, (None, long[0]), (None, long[1] + "\n" + long[0]), (90, None), (91, ""), (92, long[0])], "doc_id long, text string")
+
+    def rows(batch, keys):
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": batch.column(1), "n": pa.array([lines.kept_text((t or "").encode(), k, 40)[2] for t, k in zip(batch.column(1).to_pylist(), keys)], pa.int64())})
+
+    local, shuffled = (lines.map_lines(docs, rows, "doc_id long, text string, n long", few=few) for few in (500_000, 0))
+    got = sorted(map(repr, local.collect()))
+    assert got == sorted(map(repr, shuffled.collect())) and sum(r.n for r in local.collect()) > 30
+    assert next(r.n for r in local.collect() if r.doc_id == 92) == 0
+    plan = lines.line_report(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
