@@ -333,7 +333,7 @@ def test_alignment_stays_within_a_document(spark):
     assert got == [(1, "1-0", "1-1"), (2, "2-0", "2-1")]
 
 
-@pytest.mark.parametrize("name", ["sql_delete_text", "sql_insert_text"])
+@pytest.mark.parametrize("name", ["sql_delete_text", "sql_insert_text", "sql_apply_lens", "sql_remove_mark"])
 def test_lateral_rows_meet_no_document(spark, name):
     """The table function's rows come out of the document's own row: no join, shuffle or grouping by whole documents, and its
     text is digested below it."""
