@@ -10,7 +10,8 @@ two alone gives back the two, and exactly one piece that ends at a place meets t
 the backpointers those of the library's own BPE result. Words with two or more marks at once (runs of spaces), whose
 merges tie in score, are merged step by step instead.
 
-Characters without a piece become their bytes. What was found for short words is kept, up to a bound.
+Characters without a piece become their bytes. What was found for short words is kept, up to a bound: in two halves, of
+which the older goes when the newer is full; a word met again moves to the newer one.
 
 Defined results: null and empty texts encode to nothing and decode to the empty text; a null id is carried through; rows
 are encoded one by one, so repeated rows repeat; extra columns are ignored; an empty table gives an empty table.
@@ -155,9 +156,10 @@ def merge(word: str, lookup: dict[str, int], score: list[float], banned: int = -
 
 
 class PieceEncoder:
-    def __init__(self, vocabulary: Vocabulary, keep: int = 400_000, longest: int = 48, cells: int = 1 << 20):
+    def __init__(self, vocabulary: Vocabulary, keep: int = 100_000, longest: int = 48, cells: int = 1 << 20):
         self.v, self.keep, self.longest, self.cells = vocabulary, keep, longest, cells
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.lookup = {p: i for i, (p, t) in enumerate(zip(vocabulary.pieces, vocabulary.types, strict=True)) if t == NORMAL}
         self.score = vocabulary.scores.tolist()
         self.pairs = np.full(1 << PAIR_BITS, -1, np.int64)  # a table of fixed size: pairs asked before, and the answers
@@ -292,10 +294,12 @@ class PieceEncoder:
         for lo in range(0, len(texts), rows):
             cut = [_WORD.findall((MARK if self.v.dummy_prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts[lo : lo + rows]]
             new = set().union(*cut).difference(self.known)
-            if len(self.known) + len(new) > self.keep:
-                self.known.clear()
+            if len(self.known) + len(new) > self.keep // 2:
+                self.before, self.known = self.known, {}
                 new = set().union(*cut)
-            self.known |= self._new_words(sorted(new))
+            again = new & self.before.keys()
+            self.known |= {w: self.before[w] for w in again}
+            self.known |= self._new_words(sorted(new - again))
             get = self.known.__getitem__
             for words in cut:
                 yield b"".join(map(get, words))

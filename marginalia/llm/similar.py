@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, distinct, dropped, slices, stored
+from .common import byte_texts, distinct, dropped, slices, stored, unused
 from .components import components
 from .lines import map_with
 from .simhash import fingerprint
@@ -243,5 +243,9 @@ def keep_one(docs: DataFrame, words_per_shingle: int = 5, least: tuple[int, int]
     stays = F.bool_or(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     gone = stored(found.groupBy("doc_id").agg(stays.alias("stays")).where("not stays"), "gone")
     dropped(own, nodes, met, members, pairs, leads, first, whole, large, roots, final)
+    if gone.count() <= broadcast_rows:  # no text is shuffled, and no second pair of Python workers is started for the join
+        key = unused(docs, "gone_id")
+        ids = gone.select(F.col("doc_id").alias(key))
+        return docs.join(F.broadcast(ids), docs["doc_id"] == ids[key], "left_anti")
     # texts aren't shuffled but for those that go, and the filter's false hits
     return map_with(docs, gone, lambda batch, values: batch.filter(pa.array([x is None for x in values], pa.bool_())), docs.schema)

@@ -591,3 +591,29 @@ def test_lines_go_without_a_shuffle_of_texts(spark):
     assert next(r.n for r in local.collect() if r.doc_id == 92) == 0
     plan = lines.line_report(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_words_in_use_stay_known():
+    """What the encoder keeps is bounded, and filling it up doesn't cost the words that are met again."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as file:
+        encoder = pieces.PieceEncoder(pieces.Vocabulary.load(file.read()), keep=400)
+    made, own = [], encoder._new_words
+    encoder._new_words = lambda words: (made.extend(words), own(words))[1]
+    texts = [f"the common words {' '.join(f'w{i}x{j}' for j in range(40))}" for i in range(60)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts, rows=2)]
+    assert got == sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
+    assert made.count("▁common") == 1 and len(made) == len(set(made))
+    assert len(encoder.known) + len(encoder.before) <= 400
+
+
+def test_near_copies_go_without_python_or_shuffled_texts(spark, docs):
+    """While few rows go, they are left out where they are: a join with Python on both sides of it would hold twice the workers."""
+    kept = similar.keep_one(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "SortMergeJoin" not in plan and kept.columns == docs.columns
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "text").collect()), key=repr)
+    assert rows(kept) == rows(similar.keep_one(docs, broadcast_rows=0)) and kept.count() < docs.count()
